@@ -54,7 +54,7 @@ def _array(spark, sf_dir):
 SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS TINYINT) AS small, CAST(l_partkey AS BIGINT) AS big,
        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents, CAST(CAST(l_tax AS FLOAT) AS DOUBLE) AS rate,
        l_quantity > 25 AS large, hex(encode(l_returnflag)) AS flag_hex,
-       epoch_us(l_shipdate) // 1000 AS shipped, CAST(NULL AS BIGINT) AS wrong
+       epoch_us(l_shipdate) // 1000 AS shipped, TRUE AS wrong_is_null
 FROM lineitem
 """,
 )
@@ -87,7 +87,7 @@ def _leaves(spark, sf_dir):
         "payload.large",
         F.hex("payload.flag").alias("flag_hex"),
         F.unix_millis("payload.shipped").alias("shipped"),
-        "payload.wrong",
+        F.col("payload.wrong").isNull().alias("wrong_is_null"),
     )
 
 

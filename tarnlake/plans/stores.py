@@ -85,7 +85,7 @@ def _delimited(spark, sf_dir):
 @query("ingest_jdbc", ORDERS_SQL)
 def _ingest(spark, sf_dir):
     options, name = remote_orders(spark, sf_dir)
-    remote = scan_jdbc_partitioned(spark, options, name, "O_ORDERKEY", 1, 100, 10, fetch_size=1000)
+    remote = scan_jdbc_partitioned(spark, options, name, "O_ORDERKEY", 10, fetch_size=1000)
     return ingest(normalize_names(remote), f"{new_database(spark)}.orders")
 
 

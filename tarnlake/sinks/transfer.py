@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def copy_dataset(
@@ -16,14 +17,17 @@ def copy_dataset(
     source_options: Mapping[str, str] | None = None,
     target_options: Mapping[str, str] | None = None,
     partition_by: Sequence[str] = (),
+    schema: StructType | str | None = None,
 ) -> DataFrame:
     """Read ``source``, write ``target``, return ``target`` read back.
 
     Both are full URIs, so two file systems meet in one job without changing
     the default one; access settings per bucket belong to the session.  Tasks
-    copy in parallel and nothing is shuffled.
+    copy in parallel and nothing is shuffled.  Give ``schema`` for text formats
+    to save the pass that infers it.
     """
-    rows = spark.read.format(source_format).options(**(source_options or {})).load(source)
+    reader = spark.read.format(source_format).options(**(source_options or {}))
+    rows = (reader if schema is None else reader.schema(schema)).load(source)
     writer = rows.write.format(target_format).options(**(target_options or {})).mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
