@@ -38,10 +38,7 @@ def connection(spark: SparkSession) -> dict[str, str]:
 
 def load(rows: DataFrame, options: Mapping[str, str], name: str) -> str:
     """Write a frame to a database table, in parallel; returns the table's name there."""
-    texts = ", ".join(f"{c} VARCHAR(200)" for c, t in rows.dtypes if t == "string")
     writer = rows.write.format("jdbc").options(**options).option("dbtable", name).option("batchsize", "5000")
-    if texts:
-        writer = writer.option("createTableColumnTypes", texts)
     writer.mode("overwrite").save()
     return name
 
