@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StringType
+from pyspark.sql.types import ByteType, IntegerType, LongType, NumericType, ShortType, StringType
 
 from tarnlake.operators.shape import quoted
 
@@ -50,6 +50,33 @@ def catalog_columns(
     return listing if table is None else listing.filter(F.col("db_table") == table)
 
 
+def column_facts(df: DataFrame) -> DataFrame:
+    """Declared facts per column: position, name, type, size, scale, signed, nullable.
+
+    Only the schema is used; over a JDBC scan that is a zero-row request.
+    Size is digits for decimals and the length for char and varchar.
+    """
+    rows = []
+    for position, field in enumerate(df.schema.fields, start=1):
+        dtype = field.dataType
+        size = getattr(dtype, "precision", None) or getattr(dtype, "length", None)
+        rows.append(
+            (
+                position,
+                field.name,
+                dtype.simpleString(),
+                size,
+                getattr(dtype, "scale", None),
+                isinstance(dtype, NumericType),
+                field.nullable,
+            )
+        )
+    return df.sparkSession.createDataFrame(
+        rows,
+        "position int, column_name string, column_type string, size int, scale int, signed boolean, nullable boolean",
+    )
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """Facts per column, from one pass over the data.
 

@@ -38,7 +38,7 @@ def tail(text: Column, count: int) -> Column:
 
 def iso_timestamp(text: Column) -> Column:
     """ISO text with ``Z``, ``+09:00`` or ``+0900`` as a timestamp; NULL when it does not parse."""
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX][XX]"))
+    return text.try_cast("timestamp")
 
 
 def row_text(*columns: str, separator: str = ",") -> Column:

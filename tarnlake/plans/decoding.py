@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.time import epoch_millis
 from tarnlake.operators.conform import conform_hive, conform_jdbc, widen_jdbc
-from tarnlake.operators.nested import decode_nested, encode_nested
+from tarnlake.operators.nested import decode_nested, decode_rows, encode_nested
 from tarnlake.plans.fixtures import table
 from tarnlake.plans.registry import query
 
@@ -40,11 +40,28 @@ SELECT l_orderkey, l_linenumber, l_partkey, 'discount', l_discount, l_linestatus
 """,
 )
 def _array(spark, sf_dir):
-    rows = decode_nested(
-        _measures(spark, sf_dir), {"measures": "array<struct<name:string,amount:double,flags:array<string>>>"}
+    rows = decode_rows(
+        _measures(spark, sf_dir), "measures", "array<struct<name:string,amount:double,flags:array<string>>>"
     )
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.inline("measures")).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "name", "amount", F.col("flags")[1].alias("flag")
+    return rows.withColumn("flag", F.col("flags")[1]).drop("flags")
+
+
+@query(
+    "decode_array_sizes",
+    """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN NULL ELSE 'two' END AS words,
+              split_part(p_name, ' ', 1) AS first_word FROM part""",
+)
+def _array_sizes(spark, sf_dir):
+    """An array of texts and one that is empty for every second part, which decodes to NULL."""
+    words = F.to_json(F.split("p_name", " "))
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", words.alias("words"), F.when(F.col("p_size") % 2 == 0, "[ ]").otherwise(words).alias("some")
+    )
+    out = decode_nested(rows, {"words": "array<string>", "some": "array<varchar(30)>"})
+    return out.select(
+        "p_partkey",
+        F.when(F.col("some").isNotNull(), F.lit("two")).alias("words"),
+        F.col("words")[0].alias("first_word"),
     )
 
 
@@ -54,7 +71,7 @@ def _array(spark, sf_dir):
 SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS TINYINT) AS small, CAST(l_partkey AS BIGINT) AS big,
        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents, CAST(CAST(l_tax AS FLOAT) AS DOUBLE) AS rate,
        l_quantity > 25 AS large, hex(encode(l_returnflag)) AS flag_hex,
-       epoch_us(l_shipdate) // 1000 AS shipped, TRUE AS wrong_is_null
+       epoch_us(l_shipdate) // 1000 AS shipped, CASE WHEN l_linenumber > 1 THEN l_linenumber ELSE -1 END AS mixed
 FROM lineitem
 """,
 )
@@ -68,13 +85,15 @@ def _leaves(spark, sf_dir):
             (F.col("l_quantity") > 25).alias("large"),
             F.base64(F.encode("l_returnflag", "UTF-8")).alias("flag"),
             F.concat(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0000")).alias("shipped"),
-            F.col("l_linestatus").alias("wrong"),
         )
     )
+    # One more leaf, not a number in the first line of an order, where it becomes NULL.
+    mixed = F.when(F.col("l_linenumber") > 1, F.col("l_linenumber").cast("string")).otherwise('"none"')
+    text = F.concat(F.lit('{"mixed":'), mixed, F.lit(","), text.substr(F.lit(2), F.length(text)))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("payload"))
     declared = (
         "struct<small:tinyint,big:bigint,price:decimal(18,2),rate:float,large:boolean,"
-        "flag:binary,shipped:timestamp,wrong:bigint>"
+        "flag:binary,shipped:timestamp,mixed:int>"
     )
     rows = decode_nested(lines, {"payload": declared})
     return rows.select(
@@ -87,7 +106,7 @@ def _leaves(spark, sf_dir):
         "payload.large",
         F.hex("payload.flag").alias("flag_hex"),
         F.unix_millis("payload.shipped").alias("shipped"),
-        F.col("payload.wrong").isNull().alias("wrong_is_null"),
+        F.coalesce("payload.mixed", F.lit(-1)).alias("mixed"),
     )
 
 

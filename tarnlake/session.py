@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_own_folders: list[str] = []
 
 
 def local_session(app: str = "tarnlake", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -42,6 +43,7 @@ def work_folder(spark: SparkSession) -> str:
     if not base:
         if not is_local(spark):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="tarnlake-")
-        spark.conf.set(CHECKPOINT_SETTING, base)
+        if not _own_folders:
+            _own_folders.append(tempfile.mkdtemp(prefix="tarnlake-"))
+        base = _own_folders[0]
     return f"{base.rstrip('/')}/tarnlake/{uuid.uuid4().hex}"

@@ -54,30 +54,24 @@ def history(spark: SparkSession, root: str) -> DataFrame:
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
     """Number of the newest finished version, None when there is none."""
-    try:
-        return history(spark, root).agg(F.max("version")).first()[0]
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    entry = _entry(spark, root)
+    return None if entry is None else entry["version"]
 
 
 def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
     """The rows as of one version."""
-    entry = None
-    if latest_version(spark, root) is not None:
-        entry = history(spark, root).filter(F.col("version") == version).select("folder").first()
+    entry = _entry(spark, root, version)
     if entry is None:
         raise ValueError(f"no version {version} in {root}")
-    return spark.read.parquet(f"{root}/data/{entry[0]}")
+    return spark.read.parquet(f"{root}/data/{entry['folder']}")
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
     """The rows of the newest version."""
-    latest = latest_version(spark, root)
-    if latest is None:
+    entry = _entry(spark, root)
+    if entry is None:
         raise ValueError(f"no versions in {root}")
-    return read_version(spark, root, latest)
+    return spark.read.parquet(f"{root}/data/{entry['folder']}")
 
 
 def register_latest(spark: SparkSession, root: str, view: str) -> None:
@@ -106,3 +100,16 @@ def merge_version(spark: SparkSession, root: str, source: DataFrame, keys: Seque
 def version_diff(spark: SparkSession, root: str, before: int, after: int, keys: Sequence[str]) -> DataFrame:
     """Inserted, updated and deleted row counts between two versions."""
     return diff_counts(read_version(spark, root, before), read_version(spark, root, after), keys)
+
+
+def _entry(spark, root, version=None):
+    """History row of a version, of the newest one without a number; None when there is none."""
+    try:
+        rows = history(spark, root)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    if version is not None:
+        return rows.filter(F.col("version") == version).first()
+    return rows.orderBy(F.desc("version")).first()

@@ -5,7 +5,7 @@ import uuid
 
 import pytest
 
-from tarnlake.catalog.columns import catalog_columns, column_profile
+from tarnlake.catalog.columns import catalog_columns, column_facts, column_profile
 from tarnlake.catalog.ddl import (
     clone_table,
     create_external_table,
@@ -126,6 +126,15 @@ def test_profile_of_nothing(spark):
     assert tuple(rows[0]) == (1, "k", "int", 0, 0, None, None, None)
 
 
+def test_facts(spark):
+    df = spark.createDataFrame([], "k int not null, s string, d decimal(9,2)")
+    assert [tuple(r) for r in column_facts(df).orderBy("position").collect()] == [
+        (1, "k", "int", None, None, True, False),
+        (2, "s", "string", None, None, False, True),
+        (3, "d", "decimal(9,2)", 9, 2, True, True),
+    ]
+
+
 def test_normalize_names(spark):
     df = spark.sql("SELECT 1 AS `t.A`, 2 AS B")
     assert normalize_names(df).columns == ["a", "b"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import text
 from tarnlake.operators.conform import conform_hive, conform_jdbc, jdbc_type, parse_type, widen_jdbc
-from tarnlake.operators.nested import decode_nested, encode_nested
+from tarnlake.operators.nested import decode_nested, decode_rows, encode_nested
 from tarnlake.operators.shape import flatten_struct, nest_columns
 
 
@@ -111,3 +111,11 @@ def test_flatten_then_nest_is_identity(spark):
     flat = flatten_struct(df, "s")
     assert flat.columns == ["a", "x", "y"]
     assert nest_columns(flat, ["x", "y"], "s").first() == df.first()
+
+
+def test_decode_rows_parses_once(spark, folder):
+    rows = spark.createDataFrame([(1, '[{"a":1},{"a":2}]'), (2, "[]"), (3, None)], "id int, c string")
+    rows.write.parquet(folder)
+    out = decode_rows(spark.read.parquet(folder), "c", "array<struct<a:int>>")
+    assert sorted(map(tuple, out.collect())) == [(1, 1), (1, 2)]
+    assert out._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
