@@ -21,13 +21,13 @@ def update_where(df: DataFrame, condition: str | Column, assignments: Mapping[st
     alone.  New values are cast to the column's type.  ``a.b`` sets a field of
     a struct column.
     """
-    test = _expression(condition)
+    test = expression(condition)
     by_column: dict[str, Column] = {}
     for target, value in assignments.items():
         column, _, field = target.partition(".") if target not in df.columns else (target, "", "")
         if column not in df.columns:
             raise ValueError(f"no column {target!r}")
-        new = _expression(value)
+        new = expression(value)
         if field:
             base = by_column.get(column, F.col(quoted(column)))
             by_column[column] = base.withField(field, new.cast(_field_type(df, column, field)))
@@ -42,7 +42,7 @@ def update_where(df: DataFrame, condition: str | Column, assignments: Mapping[st
 
 def delete_where(df: DataFrame, condition: str | Column) -> DataFrame:
     """Drop the rows where the condition is true; rows where it is NULL stay."""
-    return df.filter(~F.coalesce(_expression(condition), F.lit(False)))
+    return df.filter(~F.coalesce(expression(condition), F.lit(False)))
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -144,7 +144,8 @@ def _same(keys):
     return reduce(and_, [F.col(quoted(k)) == F.col(f"_key{i}") for i, k in enumerate(keys)])
 
 
-def _expression(value):
+def expression(value: str | Column) -> Column:
+    """SQL text or a column, as a column."""
     return F.expr(value) if isinstance(value, str) else value
 
 

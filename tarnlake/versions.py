@@ -1,14 +1,18 @@
-"""Versioned tables on plain Parquet.
+"""Versioned tables on plain Parquet files.
 
 Layout below a root folder::
 
-    data/<version>-<id>/      one full copy of the rows per version
-    history/version=<n>/      one row per finished version
+    data/<id>/                Parquet files written by one change
+    history/version=<n>/      one row per finished version, with its list of files
 
-Data is written first and the history row last, so a write that fails or is
-cut off is never visible, and its left-over folder is never reused.  Overwriting
-keeps the older versions.  Each write costs one full copy of the table.  One
-writer at a time: this is not a transaction log.
+A version is a list of files.  An overwrite stores all rows anew; an update, a
+delete or a merge rewrites only the files that hold a row it changes and shares
+the others with the version before, so a small change to a large table costs a
+scan of the columns it tests and a copy of the files it hits.
+
+Files are written first and the history row last, so a write that fails or is
+cut off is never visible.  Older versions stay readable.  One writer at a time:
+this is not a transaction log.
 """
 
 from __future__ import annotations
@@ -20,35 +24,53 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.operators.mutate import delete_where, diff_counts, merge_upsert, update_where
+from tarnlake.operators.mutate import delete_where, diff_counts, expression, merge_upsert, update_where
+from tarnlake.operators.shape import quoted
 
-HISTORY_SCHEMA = "committed_at timestamp, operation string, parameters string, row_count bigint, folder string, version int"
+HISTORY_SCHEMA = (
+    "committed_at timestamp, operation string, parameters string, row_count bigint, "
+    "files array<string>, version int"
+)
 
 
 def write_version(df: DataFrame, root: str, operation: str = "WRITE", parameters: str = "") -> int:
-    """Store a frame as the next version and return its number, counted from 0."""
-    spark = df.sparkSession
-    latest = latest_version(spark, root)
-    version = 0 if latest is None else latest + 1
-    folder = f"{version}-{uuid.uuid4().hex}"
-    path = f"{root}/data/{folder}"
-    df.write.parquet(path)
-    # Counted from what was stored: a count taken during the write could be
-    # wrong after a retried task.  It reads file footers, no columns.
-    stored = spark.read.schema(df.schema).parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
-    stored.select(
-        F.current_timestamp().alias("committed_at"),
-        F.lit(operation).alias("operation"),
-        F.lit(parameters).alias("parameters"),
-        "row_count",
-        F.lit(folder).alias("folder"),
-        F.lit(version).alias("version"),
-    ).coalesce(1).write.mode("append").partitionBy("version").parquet(f"{root}/history")
-    return version
+    """Store all rows of a frame as the next version and return its number, counted from 0."""
+    latest = _entry(df.sparkSession, root)
+    return _commit(root, latest, _write_files(df, root), df.schema, df.sparkSession, operation, parameters)
+
+
+def update_version(
+    spark: SparkSession, root: str, condition: str | Column, assignments: Mapping[str, str | Column]
+) -> int:
+    """Write the next version with some rows updated."""
+    test = expression(condition)
+    return _change(
+        spark, root, lambda rows: rows.filter(test), lambda rows: update_where(rows, test, assignments),
+        "UPDATE", f"{condition}",
+    )
+
+
+def delete_version(spark: SparkSession, root: str, condition: str | Column) -> int:
+    """Write the next version without some rows."""
+    test = expression(condition)
+    return _change(
+        spark, root, lambda rows: rows.filter(test), lambda rows: delete_where(rows, test), "DELETE", f"{condition}"
+    )
+
+
+def merge_version(spark: SparkSession, root: str, source: DataFrame, keys: Sequence[str]) -> int:
+    """Write the next version with a source merged in."""
+    source_keys = source.select(*[F.col(quoted(k)).alias(f"_key{i}") for i, k in enumerate(keys)])
+
+    def hit(rows):
+        match = [F.col(quoted(k)) == F.col(f"_key{i}") for i, k in enumerate(keys)]
+        return rows.join(source_keys, match, "left_semi")
+
+    return _change(spark, root, hit, lambda rows: merge_upsert(rows, source, keys), "MERGE", ",".join(keys))
 
 
 def history(spark: SparkSession, root: str) -> DataFrame:
-    """One row per version: number, time, operation, parameters, row count, folder."""
+    """One row per version: number, time, operation, parameters, row count, files."""
     return spark.read.schema(HISTORY_SCHEMA).parquet(f"{root}/history")
 
 
@@ -63,15 +85,12 @@ def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
     entry = _entry(spark, root, version)
     if entry is None:
         raise ValueError(f"no version {version} in {root}")
-    return spark.read.parquet(f"{root}/data/{entry['folder']}")
+    return _read(spark, root, entry["files"])
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
     """The rows of the newest version."""
-    entry = _entry(spark, root)
-    if entry is None:
-        raise ValueError(f"no versions in {root}")
-    return spark.read.parquet(f"{root}/data/{entry['folder']}")
+    return _read(spark, root, _existing(spark, root)["files"])
 
 
 def register_latest(spark: SparkSession, root: str, view: str) -> None:
@@ -79,27 +98,71 @@ def register_latest(spark: SparkSession, root: str, view: str) -> None:
     read_latest(spark, root).createOrReplaceTempView(view)
 
 
-def update_version(
-    spark: SparkSession, root: str, condition: str | Column, assignments: Mapping[str, str | Column]
-) -> int:
-    """Write the next version with some rows updated."""
-    rows = update_where(read_latest(spark, root), condition, assignments)
-    return write_version(rows, root, "UPDATE", f"{condition}")
+def version_diff(spark: SparkSession, root: str, before: int, after: int, keys: Sequence[str]) -> DataFrame:
+    """Inserted, updated and deleted row counts between two versions.
+
+    Files that both versions share hold no difference and are not read.
+    """
+    found = [_entry(spark, root, v) for v in (before, after)]
+    for number, entry in zip((before, after), found):
+        if entry is None:
+            raise ValueError(f"no version {number} in {root}")
+    old, new = (set(entry["files"]) for entry in found)
+    schema = _read(spark, root, found[0]["files"]).schema
+    return diff_counts(_read(spark, root, old - new, schema), _read(spark, root, new - old, schema), keys)
+
+
+def _change(spark, root, hit, change, operation, parameters):
+    """Rewrite the files holding rows that ``hit`` keeps by ``change``, share the others."""
+    latest = _existing(spark, root)
+    rows = _read(spark, root, latest["files"])
+    # File names are metadata, as many as Spark lists for the scan anyway.
+    name = F.substring_index("_metadata.file_path", "/", -2)
+    found = hit(rows.withColumn("_file", name)).select("_file").distinct().collect()
+    touched = {f[0] for f in found}
+    changed = change(_read(spark, root, touched, rows.schema))
+    files = _write_files(changed, root) if touched or operation == "MERGE" else []
+    kept = [f for f in latest["files"] if f not in touched]
+    return _commit(root, latest, kept + files, rows.schema, spark, operation, parameters)
+
+
+def _write_files(df, root):
+    folder = uuid.uuid4().hex
+    path = f"{root}/data/{folder}"
+    df.write.parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path).inputFiles()
+    return [f"{folder}/{name.rsplit('/', 1)[-1]}" for name in written]
 
 
-def delete_version(spark: SparkSession, root: str, condition: str | Column) -> int:
-    """Write the next version without some rows."""
-    return write_version(delete_where(read_latest(spark, root), condition), root, "DELETE", f"{condition}")
+def _read(spark, root, files, schema=None):
+    paths = [f"{root}/data/{name}" for name in sorted(files)]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(*paths)
 
 
-def merge_version(spark: SparkSession, root: str, source: DataFrame, keys: Sequence[str]) -> int:
-    """Write the next version with a source merged in."""
-    return write_version(merge_upsert(read_latest(spark, root), source, keys), root, "MERGE", ",".join(keys))
+def _commit(root, latest, files, schema, spark, operation, parameters):
+    version = 0 if latest is None else latest["version"] + 1
+    # Counted from what is stored: a count taken during the write could be
+    # wrong after a retried task.  It reads file footers, no columns.
+    row_count = _read(spark, root, files, schema).count()
+    spark.range(1).select(
+        F.current_timestamp().alias("committed_at"),
+        F.lit(operation).alias("operation"),
+        F.lit(parameters).alias("parameters"),
+        F.lit(row_count).cast("bigint").alias("row_count"),
+        (F.split(F.lit("\n".join(files)), "\n") if files else F.lit([])).cast("array<string>").alias("files"),
+        F.lit(version).alias("version"),
+    ).coalesce(1).write.mode("append").partitionBy("version").parquet(f"{root}/history")
+    return version
 
 
-def version_diff(spark: SparkSession, root: str, before: int, after: int, keys: Sequence[str]) -> DataFrame:
-    """Inserted, updated and deleted row counts between two versions."""
-    return diff_counts(read_version(spark, root, before), read_version(spark, root, after), keys)
+def _existing(spark, root):
+    entry = _entry(spark, root)
+    if entry is None:
+        raise ValueError(f"no versions in {root}")
+    return entry
 
 
 def _entry(spark, root, version=None):
@@ -110,6 +173,7 @@ def _entry(spark, root, version=None):
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    if version is not None:
-        return rows.filter(F.col("version") == version).first()
-    return rows.orderBy(F.desc("version")).first()
+    if version is None:
+        version = rows.agg(F.max("version")).first()[0]
+    # One folder of the history is read, the file lists of other versions are not.
+    return rows.filter(F.col("version") == version).first()

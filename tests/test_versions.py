@@ -70,3 +70,46 @@ def test_view_follows_registration(spark, root):
     assert spark.table("version_view").count() == 10
     versions.register_latest(spark, root, "version_view")
     assert spark.table("version_view").count() == 1
+
+
+def test_untouched_files_are_shared(spark, folder):
+    df = spark.range(0, 1000, 1, 8).selectExpr("id AS k", "concat('v', id) AS v")
+    versions.write_version(df, folder)
+    versions.update_version(spark, folder, "k = 3", {"v": "'new'"})
+    versions.delete_version(spark, folder, "k = 990")
+    source = spark.createDataFrame([(400, "m"), (5000, "n")], "k bigint, v string")
+    versions.merge_version(spark, folder, source, ["k"])
+    versions.delete_version(spark, folder, "k = -1")
+    lists = [set(r.files) for r in versions.history(spark, folder).orderBy("version").collect()]
+    assert len(lists[0]) == 8
+    assert [len(lists[0] & later) for later in lists] == [8, 7, 6, 5, 5]
+    assert lists[4] == lists[3]
+    want = {i: f"v{i}" for i in range(1000)}
+    want.update({3: "new", 400: "m", 5000: "n"})
+    del want[990]
+    assert dict(map(tuple, versions.read_latest(spark, folder).collect())) == want
+    assert [tuple(versions.version_diff(spark, folder, 0, n, ["k"]).first()) for n in range(5)] == [
+        (0, 0, 0), (0, 1, 0), (0, 1, 1), (1, 2, 1), (1, 2, 1),
+    ]
+    assert versions.history(spark, folder).filter("version = 3").first().row_count == 1000
+
+
+def test_merge_without_a_match_only_adds_files(spark, root):
+    source = spark.createDataFrame([(100, 1), (None, 2)], "k int, v int")
+    versions.merge_version(spark, root, source, ["k"])
+    lists = [set(r.files) for r in versions.history(spark, root).orderBy("version").collect()]
+    assert lists[0] < lists[1]
+    assert versions.read_latest(spark, root).count() == 12
+
+
+def test_merge_with_repeated_source_key_leaves_no_version(spark, root):
+    source = spark.createDataFrame([(1, 1), (1, 2)], "k int, v int")
+    with pytest.raises(Exception, match="several rows for one key"):
+        versions.merge_version(spark, root, source, ["k"])
+    assert versions.latest_version(spark, root) == 0
+
+
+def test_overwrite_may_change_the_schema(spark, root):
+    versions.write_version(spark.sql("SELECT 'x' AS other"), root)
+    assert versions.read_latest(spark, root).columns == ["other"]
+    assert versions.read_version(spark, root, 0).columns == ["k", "v"]
