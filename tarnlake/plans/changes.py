@@ -15,18 +15,20 @@ from tarnlake.session import work_folder
 
 COLUMNS = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
 
-TARGET_SQL = f"SELECT {COLUMNS} FROM customer WHERE c_custkey % 2 = 0"
-SOURCE_SQL = """SELECT c_custkey, c_name, c_nationkey, c_acctbal + 1000 AS c_acctbal, c_mktsegment
-                FROM customer WHERE c_custkey % 3 = 0"""
+TARGET_SQL = f"SELECT {COLUMNS} FROM customer"
+SOURCE_SQL = """SELECT c_custkey + 50 AS c_custkey, c_name, c_nationkey, c_acctbal + 1000 AS c_acctbal, c_mktsegment
+                FROM customer"""
 
 
 def _target(spark, sf_dir):
-    return table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0")
+    return table(spark, sf_dir, "customer")
 
 
 def _source(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0")
-    return rows.withColumn("c_acctbal", F.col("c_acctbal") + 1000)
+    """All customers under shifted keys: most meet a customer, the last ones are new."""
+    return table(spark, sf_dir, "customer").withColumns(
+        {"c_custkey": F.col("c_custkey") + 50, "c_acctbal": F.col("c_acctbal") + 1000}
+    )
 
 
 UPDATED_SQL = """SELECT c_custkey, c_name, c_nationkey,
@@ -54,7 +56,7 @@ def _delete(spark, sf_dir):
 
 MERGED_SQL = f"""SELECT {COLUMNS} FROM ({SOURCE_SQL})
                  UNION ALL
-                 SELECT {COLUMNS} FROM ({TARGET_SQL}) WHERE c_custkey % 3 <> 0"""
+                 SELECT {COLUMNS} FROM customer WHERE c_custkey < 50"""
 
 
 @query("merge_upsert", MERGED_SQL)
@@ -66,17 +68,17 @@ def _merge(spark, sf_dir):
     "merge_upsert_repeated_keys",
     """SELECT o_custkey, CASE WHEN c_custkey IS NULL THEN o_orderstatus ELSE 'N' END AS o_orderstatus,
               CASE WHEN c_custkey IS NULL THEN o_orderpriority ELSE c_mktsegment END AS o_orderpriority
-       FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON o_custkey = c_custkey
+       FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 3000) ON o_custkey = c_custkey
        UNION ALL
        SELECT c_custkey, 'N', c_mktsegment FROM customer
-       WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+       WHERE c_acctbal > 3000 AND c_custkey NOT IN (SELECT o_custkey FROM orders)""",
 )
 def _merge_repeated(spark, sf_dir):
     """Many target rows per key: every order of a matching customer is updated."""
     target = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")
     source = (
         table(spark, sf_dir, "customer")
-        .filter("c_custkey % 3 = 0")
+        .filter("c_acctbal > 3000")
         .select(
             F.col("c_custkey").alias("o_custkey"),
             F.lit("N").alias("o_orderstatus"),

@@ -48,14 +48,14 @@ def _array(spark, sf_dir):
 
 @query(
     "decode_array_sizes",
-    """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN NULL ELSE 'two' END AS words,
+    """SELECT p_partkey, CASE WHEN p_size > 25 THEN NULL ELSE 'two' END AS words,
               split_part(p_name, ' ', 1) AS first_word FROM part""",
 )
 def _array_sizes(spark, sf_dir):
-    """An array of texts and one that is empty for every second part, which decodes to NULL."""
+    """An array of texts and one that is empty for large parts, which decodes to NULL."""
     words = F.to_json(F.split("p_name", " "))
     rows = table(spark, sf_dir, "part").select(
-        "p_partkey", words.alias("words"), F.when(F.col("p_size") % 2 == 0, "[ ]").otherwise(words).alias("some")
+        "p_partkey", words.alias("words"), F.when(F.col("p_size") > 25, "[ ]").otherwise(words).alias("some")
     )
     out = decode_nested(rows, {"words": "array<string>", "some": "array<varchar(30)>"})
     return out.select(
