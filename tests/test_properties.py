@@ -1,0 +1,121 @@
+"""Operators against brute force on many random small cases, one Spark job each."""
+
+import json
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tarnlake.operators.mutate import delete_where, diff_counts, merge_upsert, update_where
+from tarnlake.operators.nested import decode_nested
+from tarnlake.operators.summarize import first_per_key
+
+SCHEMA = "c int, k int, v string, n int"
+CASES = 120
+
+
+def rows_of(rng, count, unique=False):
+    keys = [None, *range(6)]
+    if unique:
+        picked = rng.sample(range(6), min(count, 6)) + [None] * rng.randint(0, 2)
+    else:
+        picked = [rng.choice(keys) for _ in range(count)]
+    return [(k, rng.choice([None, "a", "b"]), rng.choice([None, 0, 1, 2])) for k in picked]
+
+
+def frame(spark, cases):
+    return spark.createDataFrame([(c, *row) for c, rows in enumerate(cases) for row in rows], SCHEMA)
+
+
+def by_case(df):
+    out = [Counter() for _ in range(CASES)]
+    for row in df.collect():
+        out[row[0]][tuple(row[1:])] += 1
+    return out
+
+
+@pytest.fixture(scope="module")
+def targets():
+    rng = random.Random(1)
+    return [rows_of(rng, rng.randint(0, 8)) for _ in range(CASES)]
+
+
+@pytest.fixture(scope="module")
+def sources():
+    rng = random.Random(2)
+    return [rows_of(rng, rng.randint(0, 5), unique=True) for _ in range(CASES)]
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_merge(spark, targets, sources, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = by_case(merge_upsert(frame(spark, targets), frame(spark, sources), ["c", "k"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for target, source, result in zip(targets, sources, got):
+        new = {row[0]: row for row in source if row[0] is not None}
+        present = {row[0] for row in target}
+        want = Counter(new.get(row[0], row) for row in target)
+        want.update(row for row in source if row[0] is None or row[0] not in present)
+        assert result == want
+
+
+def test_update_and_delete(spark, targets):
+    df = frame(spark, targets)
+    updated = by_case(update_where(df, "n > 0 AND v = 'a'", {"n": "n + 10", "v": "concat(v, n)"}))
+    deleted = by_case(delete_where(df, "n > 0 AND v = 'a'"))
+    for rows, after_update, after_delete in zip(targets, updated, deleted):
+        hit = [r[2] is not None and r[2] > 0 and r[1] == "a" for r in rows]
+        assert after_update == Counter((r[0], f"{r[1]}{r[2]}", r[2] + 10) if h else r for r, h in zip(rows, hit))
+        assert after_delete == Counter(r for r, h in zip(rows, hit) if not h)
+
+
+def test_diff(spark, targets, sources):
+    """All cases in one diff: the totals are the sums over cases and keys."""
+    row = diff_counts(frame(spark, targets), frame(spark, sources), ["c", "k"]).first()
+    inserted = updated = deleted = 0
+    for old, new in zip(targets, sources):
+        a, b = Counter(old), Counter(new)
+        for key in {r[0] for r in old + new}:
+            plus = sum(n for r, n in (b - a).items() if r[0] == key)
+            minus = sum(n for r, n in (a - b).items() if r[0] == key)
+            inserted += plus - min(plus, minus)
+            updated += min(plus, minus)
+            deleted += minus - min(plus, minus)
+    assert tuple(row) == (inserted, updated, deleted)
+
+
+def test_first_per_key(spark, targets):
+    got = by_case(first_per_key(frame(spark, targets), ["c", "k"], ["n", "v"]))
+    order = lambda r: (r[2] is not None, r[2] or 0, r[1] is not None, r[1] or "")
+    for rows, result in zip(targets, got):
+        want = {}
+        for row in sorted(rows, key=order):
+            want.setdefault(row[0], row)
+        assert result == Counter(want.values())
+
+
+def test_decode(spark):
+    rng = random.Random(3)
+
+    def element():
+        return {
+            "s": rng.choice([None, "", 'q"uo\\te', "é€"]),
+            "n": rng.choice([None, 0, -5, 2**40]),
+            "in": rng.choice([None, {"d": 1.5}, {"d": None}]),
+            "arr": rng.choice([None, [], [1, None, 3]]),
+        }
+
+    values = [[element() for _ in range(rng.randint(1, 4))] for _ in range(200)]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, j string")
+    out = decode_nested(df, {"j": "array<struct<s:string,n:bigint,in:struct<d:double>,arr:array<int>>>"})
+    for row in out.collect():
+        assert [r.asDict(recursive=True) for r in row.j] == values[row.i]
+
+
+def test_decode_keeps_rows(spark):
+    df = spark.range(1000).select("id", F.concat(F.lit("["), "id", F.lit("]")).alias("j"))
+    out = decode_nested(df, {"j": "array<bigint>"}).select(F.sum(F.col("j")[0])).first()[0]
+    assert out == sum(range(1000))
