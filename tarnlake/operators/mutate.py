@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from tarnlake.operators.shape import quoted
 
-KEY_HASH = "_key_hash"
-
 
 def update_where(df: DataFrame, condition: str | Column, assignments: Mapping[str, str | Column]) -> DataFrame:
     """Set columns in the rows where the condition is true.
@@ -52,42 +50,38 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> D
     several target rows share the key.  NULL keys never match.  Two source
     rows for one key raise an error while the job runs.
 
-    Plan: the source is reduced to one row per key (pre-aggregated before its
-    shuffle).  The target is the outer side of a left join: it is not shuffled
-    at all while the source is small enough to broadcast, and otherwise Spark
-    can split a hot target key at run time, which it cannot do in a full outer
-    join.  Whether a source row found a partner is decided on keys alone.
-    Grouping also by a hash of the keys changes no group; it keeps the grouped
-    side from being taken as already placed for the joins with the target, as
-    Spark only splits hot keys of a join whose two inputs are both shuffled
-    for it.
+    Plan: the target is the outer side of a left join.  It is not shuffled at
+    all while the source is small enough to broadcast, and otherwise Spark can
+    split a hot target key at run time, which it cannot do in a full outer
+    join.  Whether a source row found a partner is decided on keys alone, in a
+    branch that also counts the copies of every source key, so a repeated key
+    stops the job before the wide join runs.
     """
     if set(target.columns) != set(source.columns):
         raise ValueError("target and source need the same columns")
     keys = list(keys)
-    key_columns = [F.col(quoted(k)) for k in keys]
-    rest = [c for c in target.columns if c not in keys]
     source = source.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in target.schema.fields])
-    has_key = reduce(and_, [k.isNotNull() for k in key_columns])
-    unique = _one_per_key(source.filter(has_key), keys, rest)
-
-    updated = target.join(unique.drop(KEY_HASH).withColumnsRenamed(_aside(keys)), _same(keys), "left").select(
-        *[
-            F.col(quoted(c))
-            if c in keys
-            else F.when(F.col("_row").isNotNull(), F.col("_row")[c]).otherwise(F.col(quoted(c))).alias(c)
-            for c in target.columns
-        ]
-    )
-    matched = (
-        target.select(*key_columns)
-        .join(unique.select(*key_columns).withColumnsRenamed(_aside(keys)), _same(keys), "left_semi")
-        .groupBy(*key_columns, F.xxhash64(*key_columns).alias(KEY_HASH))
-        .agg(F.count(F.lit(1)).alias("_hits"))
-    )
-    fresh = unique.join(matched, [*keys, KEY_HASH], "left_anti").select(
-        *[F.col(quoted(c)) if c in keys else F.col("_row")[c].alias(c) for c in target.columns]
+    has_key = reduce(and_, [F.col(quoted(k)).isNotNull() for k in keys])
+    keyed = source.filter(has_key)
+
+    found = F.col(f"s.{quoted(keys[0])}").isNotNull()
+    updated = (
+        target.alias("t")
+        .join(keyed.alias("s"), _same(keys), "left")
+        .select(
+            *[
+                F.col(f"t.{quoted(c)}")
+                if c in keys
+                else F.when(found, F.col(f"s.{quoted(c)}")).otherwise(F.col(f"t.{quoted(c)}")).alias(c)
+                for c in target.columns
+            ]
+        )
     )
+    # Distinct first, so a hot key is one row per task before its shuffle; Spark
+    # moves the semi join below that when the source can be broadcast.
+    present = target.select(*map(quoted, keys)).distinct()
+    matched = present.alias("t").join(_single_keys(keyed, keys).alias("s"), _same(keys), "left_semi")
+    fresh = keyed.alias("t").join(matched.alias("s"), _same(keys), "left_anti")
     return updated.unionByName(fresh).unionByName(source.filter(~has_key))
 
 
@@ -122,26 +116,19 @@ def diff_counts(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
     return totals.select(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in totals.columns])
 
 
-def _one_per_key(source, keys, rest):
-    """Keys, their hash and ``_row``, a struct of the other columns; fails on a repeated key."""
-    packed = F.struct(*[F.col(quoted(c)) for c in rest]) if rest else F.struct(F.lit(True).alias("_present"))
-    key_columns = [F.col(quoted(k)) for k in keys]
-    grouped = source.groupBy(*key_columns, F.xxhash64(*key_columns).alias(KEY_HASH)).agg(
-        F.first(packed).alias("_row"), F.count(F.lit(1)).alias("_copies")
-    )
+def _single_keys(source, keys):
+    """The source's keys; fails on one that occurs twice."""
+    columns = [F.col(quoted(k)) for k in keys]
+    counted = source.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
     # A filter, not a column: a column could be pruned away with the check.
     check = F.when(F.col("_copies") == 1, F.lit(True)).otherwise(
         F.raise_error(F.lit("merge source has several rows for one key")).cast("boolean")
     )
-    return grouped.filter(check).drop("_copies")
-
-
-def _aside(keys):
-    return {k: f"_key{i}" for i, k in enumerate(keys)}
+    return counted.filter(check).select(*columns)
 
 
 def _same(keys):
-    return reduce(and_, [F.col(quoted(k)) == F.col(f"_key{i}") for i, k in enumerate(keys)])
+    return reduce(and_, [F.col(f"t.{quoted(k)}") == F.col(f"s.{quoted(k)}") for k in keys])
 
 
 def expression(value: str | Column) -> Column:
