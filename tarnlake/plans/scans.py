@@ -11,7 +11,7 @@ from tarnlake.plans.registry import query
 from tarnlake.session import work_folder
 from tarnlake.sinks.files import save_delimited, save_json_lines, save_text
 from tarnlake.sinks.tables import save_table
-from tarnlake.sources.files import scan_delimited, scan_json_lines, scan_parquet, scan_text
+from tarnlake.sources.files import scan_delimited, scan_json_lines, scan_json_texts, scan_parquet, scan_text
 from tarnlake.sources.jdbc import scan_jdbc, scan_jdbc_partitioned, scan_jdbc_query
 from tarnlake.sources.staged import staged_jdbc_scan, unload_scan
 from tarnlake.sources.tables import scan_sql, scan_table
@@ -51,6 +51,11 @@ def _jsonl_declared(spark, sf_dir):
     return scan_json_lines(spark, _events_as_json(spark, sf_dir), schema)
 
 
+@query("scan_json_texts", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _json_texts(spark, sf_dir):
+    return scan_json_texts(table(spark, sf_dir, "events").select("event_id", "props"), "props")
+
+
 def _customers_as_text(spark, sf_dir):
     path = work_folder(spark)
     save_delimited(table(spark, sf_dir, "customer"), path)

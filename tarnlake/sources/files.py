@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    ArrayType,
+    DataType,
+    DecimalType,
+    DoubleType,
+    NullType,
+    StringType,
+    StructField,
+    StructType,
+    VariantType,
+)
+
+from tarnlake.operators.shape import quoted
 
 
 def scan_parquet(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -22,6 +37,39 @@ def scan_json_lines(spark: SparkSession, path: str, schema: StructType | str | N
     return reader.json(path)
 
 
+def scan_json_texts(df: DataFrame, column: str, schema: StructType | str | None = None) -> DataFrame:
+    """JSON objects held as texts in a column: their fields become columns, other columns stay.
+
+    Without ``schema`` the fields and types are found in all texts by one
+    aggregate, with the fields in alphabetical order as in a JSON file scan.
+    A text that is not JSON gives NULL fields.
+    """
+    if schema is None:
+        found = df.agg(F.schema_of_variant_agg(F.try_parse_json(column))).first()[0]
+        schema = _file_types(StructType.fromDDL(re.sub(r"\bOBJECT<", "STRUCT<", f"c {found}"))["c"].dataType)
+    elif isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    if not isinstance(schema, StructType):
+        raise ValueError(f"{column} does not hold JSON objects")
+    kept = [F.col(quoted(c)) for c in df.columns if c != column]
+    return df.select(*kept, F.from_json(F.col(quoted(column)), schema).alias("_json")).select(
+        *kept, *[F.col("_json")[f].alias(f) for f in schema.fieldNames()]
+    )
+
+
+def _file_types(dtype: DataType) -> DataType:
+    """The types a JSON file scan would infer: fractions as double, unknown or mixed as string."""
+    if isinstance(dtype, StructType):
+        return StructType([StructField(f.name, _file_types(f.dataType)) for f in dtype.fields])
+    if isinstance(dtype, ArrayType):
+        return ArrayType(_file_types(dtype.elementType))
+    if isinstance(dtype, DecimalType) and dtype.scale > 0:
+        return DoubleType()
+    if isinstance(dtype, (NullType, VariantType)):
+        return StringType()
+    return dtype
+
+
 def scan_delimited(
     spark: SparkSession,
     path: str,

@@ -20,7 +20,7 @@ from tarnlake.session import work_folder
 from tarnlake.sinks.files import append_batches, save_delimited, save_parquet, save_text
 from tarnlake.sinks.tables import create_database, save_table
 from tarnlake.sinks.transfer import copy_dataset
-from tarnlake.sources.files import scan_delimited, scan_json_lines, scan_text
+from tarnlake.sources.files import scan_delimited, scan_json_lines, scan_json_texts, scan_text
 from tarnlake.sources.staged import unload_scan
 
 
@@ -197,3 +197,25 @@ def test_unload(spark, folder, sample):
     assert content(out) == content(sample.filter("k >= 8"))
     empty = unload_scan(spark, "unload_sample", folder, "WHERE k > 100")
     assert empty.schema.names == sample.columns and empty.count() == 0
+
+
+def test_json_texts_infer_as_files_do(spark, folder):
+    texts = [
+        '{"itemId":"a","baseProperties":{"uid":"u","ts":1550887585110},"q":1,"arr":[1,2.5],"n":null,"b":true}',
+        '{"q":2.5,"extra":{"x":[{"y":"z"}]},"mix":1}',
+        '{"mix":"one"}',
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    df.select("t").write.text(folder)
+    want = scan_json_lines(spark, folder)
+    got = scan_json_texts(df, "t").drop("i")
+    assert got.dtypes == want.dtypes
+    assert content(got) == content(want)
+
+
+def test_json_texts_with_schema_and_bad_text(spark):
+    df = spark.createDataFrame([(1, '{"a":1}'), (2, "no json"), (3, None)], "i int, t string")
+    assert content(scan_json_texts(df, "t")) == [(1, 1), (2, None), (3, None)]
+    assert content(scan_json_texts(df, "t", "a string")) == [(1, "1"), (2, None), (3, None)]
+    with pytest.raises(ValueError):
+        scan_json_texts(df.filter("i > 1"), "t")
