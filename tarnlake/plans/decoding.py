@@ -71,7 +71,7 @@ def _array_sizes(spark, sf_dir):
 SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS TINYINT) AS small, CAST(l_partkey AS BIGINT) AS big,
        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents, CAST(CAST(l_tax AS FLOAT) AS DOUBLE) AS rate,
        l_quantity > 25 AS large, hex(encode(l_returnflag)) AS flag_hex,
-       epoch_us(l_shipdate) // 1000 AS shipped, CASE WHEN l_linenumber > 1 THEN l_linenumber ELSE -1 END AS mixed
+       epoch_us(l_shipdate) // 1000 AS shipped, CASE WHEN l_quantity > 1 THEN l_linenumber ELSE -1 END AS mixed
 FROM lineitem
 """,
 )
@@ -87,8 +87,8 @@ def _leaves(spark, sf_dir):
             F.concat(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0000")).alias("shipped"),
         )
     )
-    # One more leaf, not a number in the first line of an order, where it becomes NULL.
-    mixed = F.when(F.col("l_linenumber") > 1, F.col("l_linenumber").cast("string")).otherwise('"none"')
+    # One more leaf, not a number in some lines, where it becomes NULL.
+    mixed = F.when(F.col("l_quantity") > 1, F.col("l_linenumber").cast("string")).otherwise('"none"')
     text = F.concat(F.lit('{"mixed":'), mixed, F.lit(","), text.substr(F.lit(2), F.length(text)))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("payload"))
     declared = (

@@ -1,0 +1,17 @@
+"""File, table and copy sinks."""
+
+from tarnlake.sinks.files import append_batches, save_delimited, save_json_lines, save_parquet, save_text
+from tarnlake.sinks.tables import create_database, ingest, save_table
+from tarnlake.sinks.transfer import copy_dataset
+
+__all__ = [
+    "append_batches",
+    "copy_dataset",
+    "create_database",
+    "ingest",
+    "save_delimited",
+    "save_json_lines",
+    "save_parquet",
+    "save_table",
+    "save_text",
+]
