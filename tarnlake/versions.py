@@ -20,6 +20,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,13 @@ HISTORY_SCHEMA = (
 
 def write_version(df: DataFrame, root: str, operation: str = "WRITE", parameters: str = "") -> int:
     """Store all rows of a frame as the next version and return its number, counted from 0."""
-    latest = _entry(df.sparkSession, root)
-    return _commit(root, latest, _write_files(df, root), df.schema, df.sparkSession, operation, parameters)
+    spark = df.sparkSession
+    latest = _entry(spark, root)
+    files = _write_files(df, root)
+    # Counted from what is stored, here and below: a count taken during the
+    # write could be wrong after a retried task.  It reads footers, no columns.
+    row_count = _read(spark, root, files, df.schema).count()
+    return _commit(spark, root, latest, files, row_count, operation, parameters)
 
 
 def update_version(
@@ -120,10 +126,11 @@ def _change(spark, root, hit, change, operation, parameters):
     name = F.substring_index("_metadata.file_path", "/", -2)
     found = hit(rows.withColumn("_file", name)).select("_file").distinct().collect()
     touched = {f[0] for f in found}
-    changed = change(_read(spark, root, touched, rows.schema))
-    files = _write_files(changed, root) if touched or operation == "MERGE" else []
+    old = _read(spark, root, touched, rows.schema)
+    files = _write_files(change(old), root) if touched or operation == "MERGE" else []
     kept = [f for f in latest["files"] if f not in touched]
-    return _commit(root, latest, kept + files, rows.schema, spark, operation, parameters)
+    row_count = latest["row_count"] - old.count() + _read(spark, root, files, rows.schema).count()
+    return _commit(spark, root, latest, kept + files, row_count, operation, parameters)
 
 
 def _write_files(df, root):
@@ -142,19 +149,25 @@ def _read(spark, root, files, schema=None):
     return reader.parquet(*paths)
 
 
-def _commit(root, latest, files, schema, spark, operation, parameters):
+def _commit(spark, root, latest, files, row_count, operation, parameters):
     version = 0 if latest is None else latest["version"] + 1
-    # Counted from what is stored: a count taken during the write could be
-    # wrong after a retried task.  It reads file footers, no columns.
-    row_count = _read(spark, root, files, schema).count()
-    spark.range(1).select(
-        F.current_timestamp().alias("committed_at"),
-        F.lit(operation).alias("operation"),
-        F.lit(parameters).alias("parameters"),
-        F.lit(row_count).cast("bigint").alias("row_count"),
-        (F.split(F.lit("\n".join(files)), "\n") if files else F.lit([])).cast("array<string>").alias("files"),
-        F.lit(version).alias("version"),
-    ).coalesce(1).write.mode("append").partitionBy("version").parquet(f"{root}/history")
+    entry = pa.table(
+        {
+            "operation": [operation],
+            "parameters": [parameters],
+            "row_count": [row_count],
+            "files": pa.array([files], pa.list_(pa.string())),
+            "version": pa.array([version], pa.int32()),
+        }
+    )
+    (
+        spark.createDataFrame(entry)
+        .withColumn("committed_at", F.current_timestamp())
+        .coalesce(1)
+        .write.mode("append")
+        .partitionBy("version")
+        .parquet(f"{root}/history")
+    )
     return version
 
 
