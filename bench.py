@@ -44,7 +44,7 @@ HEADLINE = [
 
 
 def pi_ten_million(spark, _):
-    """The reference-sized estimate: 10,000,000 points in 100 slices."""
+    """10,000,000 points in 100 slices."""
     return pi_estimate(spark.range(1, 10_000_000, numPartitions=100), "id")
 
 
