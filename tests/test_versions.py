@@ -1,6 +1,7 @@
 """Laws of versioned tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnlake import versions
 
@@ -113,3 +114,32 @@ def test_overwrite_may_change_the_schema(spark, root):
     versions.write_version(spark.sql("SELECT 'x' AS other"), root)
     assert versions.read_latest(spark, root).columns == ["other"]
     assert versions.read_version(spark, root, 0).columns == ["k", "v"]
+
+
+def test_merge_over_different_key_types(spark, folder):
+    rows = [(i, f"k{i:02d}", f"2024-01-{i + 1:02d}", i * 1.5) for i in range(20)]
+    base = spark.createDataFrame(rows, "a int, b string, c string, n double").withColumn("c", F.col("c").cast("date"))
+    versions.write_version(base, folder)
+    source = base.filter("a between 5 and 8").withColumn("n", F.lit(-1.0))
+    extra = source.limit(1).withColumn("b", F.lit("zz"))
+    source = source.unionByName(extra)
+    for keys in (["a", "b"], ["b", "c"], ["b"], ["n"]):
+        root = f"{folder}-{'-'.join(keys)}"
+        versions.write_version(base, root)
+        if keys == ["n"]:
+            one = source.limit(1).withColumn("n", F.lit(15.0)).withColumn("b", F.lit("hit"))
+            versions.merge_version(spark, root, one, keys)
+            assert versions.read_latest(spark, root).filter("b = 'hit'").count() == 1
+            assert versions.read_latest(spark, root).count() == 20
+        else:
+            versions.merge_version(spark, root, source, keys)
+            assert versions.read_latest(spark, root).filter("n = -1").count() == 5
+            assert versions.read_latest(spark, root).count() == 21
+
+
+def test_merge_of_nothing(spark, root):
+    versions.merge_version(spark, root, versions.read_latest(spark, root).limit(0), ["k"])
+    assert versions.version_diff(spark, root, 0, 1, ["k"]).first() == (0, 0, 0)
+    only_null = spark.createDataFrame([(None, 1)], "k int, v int")
+    versions.merge_version(spark, root, only_null, ["k"])
+    assert versions.read_latest(spark, root).count() == 11
