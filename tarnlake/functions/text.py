@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+TO_THE_END = 2**31 - 1
+
 
 def init_upper(text: Column) -> Column:
     """First letter upper-cased, the rest unchanged (``initcap`` would change every word)."""
-    return F.concat(F.upper(F.substring(text, 1, 1)), text.substr(F.lit(2), F.length(text)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, TO_THE_END))
 
 
 def before_first(text: Column, mark: str = ":") -> Column:

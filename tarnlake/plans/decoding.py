@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnlake.functions.text import TO_THE_END
 from tarnlake.functions.time import epoch_millis
 from tarnlake.operators.conform import conform_hive, conform_jdbc, widen_jdbc
 from tarnlake.operators.nested import decode_nested, decode_rows, encode_nested
@@ -89,7 +90,7 @@ def _leaves(spark, sf_dir):
     )
     # One more leaf, not a number in some lines, where it becomes NULL.
     mixed = F.when(F.col("l_quantity") > 1, F.col("l_linenumber").cast("string")).otherwise('"none"')
-    text = F.concat(F.lit('{"mixed":'), mixed, F.lit(","), text.substr(F.lit(2), F.length(text)))
+    text = F.concat(F.lit('{"mixed":'), mixed, F.lit(","), F.substring(text, 2, TO_THE_END))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("payload"))
     declared = (
         "struct<small:tinyint,big:bigint,price:decimal(18,2),rate:float,large:boolean,"
