@@ -204,6 +204,9 @@ def _entry(spark, root, version=None):
             return None
         raise
     if version is None:
-        version = rows.agg(F.max("version")).first()[0]
+        numbers = [int(name.rsplit("version=", 1)[1].split("/")[0]) for name in rows.inputFiles()]
+        if not numbers:
+            return None
+        version = max(numbers)
     # One folder of the history is read, the file lists of other versions are not.
     return rows.filter(F.col("version") == version).first()

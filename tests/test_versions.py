@@ -143,3 +143,12 @@ def test_merge_of_nothing(spark, root):
     only_null = spark.createDataFrame([(None, 1)], "k int, v int")
     versions.merge_version(spark, root, only_null, ["k"])
     assert versions.read_latest(spark, root).count() == 11
+
+
+def test_history_cut_off_before_its_first_row(spark, folder):
+    import os
+
+    os.makedirs(f"{folder}/history/_temporary")
+    assert versions.latest_version(spark, folder) is None
+    assert versions.write_version(spark.range(3), folder) == 0
+    assert versions.read_latest(spark, folder).count() == 3
