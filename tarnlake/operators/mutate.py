@@ -77,12 +77,17 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> D
             ]
         )
     )
+    copies = keyed.groupBy(*[F.col(quoted(k)) for k in keys]).agg(F.count(F.lit(1)).alias("_copies"))
     # Distinct first, so a hot key is one row per task before its shuffle; Spark
     # moves the semi join below that when the source can be broadcast.
     present = target.select(*map(quoted, keys)).distinct()
-    matched = present.alias("t").join(_single_keys(keyed, keys).alias("s"), _same(keys), "left_semi")
+    matched = present.alias("t").join(copies.filter(_once(F.lit(True))).alias("s"), _same(keys), "left_semi")
     fresh = keyed.alias("t").join(matched.alias("s"), _same(keys), "left_anti")
-    return updated.unionByName(fresh).unionByName(source.filter(~has_key))
+    # No rows, only the check: the one above is not run for an empty target.
+    guard = copies.filter(_once(F.col("_copies") < 0)).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in target.schema.fields]
+    )
+    return guard.unionByName(updated).unionByName(fresh).unionByName(source.filter(~has_key))
 
 
 def diff_counts(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -116,15 +121,13 @@ def diff_counts(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
     return totals.select(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in totals.columns])
 
 
-def _single_keys(source, keys):
-    """The source's keys; fails on one that occurs twice."""
-    columns = [F.col(quoted(k)) for k in keys]
-    counted = source.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    # A filter, not a column: a column could be pruned away with the check.
-    check = F.when(F.col("_copies") == 1, F.lit(True)).otherwise(
-        F.raise_error(F.lit("merge source has several rows for one key")).cast("boolean")
-    )
-    return counted.filter(check).select(*columns)
+def _once(value):
+    """``value`` for a key with one copy, an error for one with several.
+
+    To be used in a filter: in a column, the error could be pruned away.
+    """
+    several = F.raise_error(F.lit("merge source has several rows for one key")).cast("boolean")
+    return F.when(F.col("_copies") == 1, value).otherwise(several)
 
 
 def _same(keys):

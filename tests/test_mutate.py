@@ -91,6 +91,15 @@ def test_merge_repeated_source_key_fails(spark, threshold):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("target", [[], [(9, "a", 1)]])
+def test_merge_repeated_source_key_fails_without_a_match(spark, target):
+    source = frame(spark, [(1, "b", 2), (1, "c", 3)])
+    merged = merge_upsert(frame(spark, target), source, ["k"])
+    for run in (merged.collect, merged.count, merged.select("v").collect):
+        with pytest.raises(Exception, match="several rows for one key"):
+            run()
+
+
 def test_merge_is_idempotent(spark):
     target = frame(spark, [(i, f"v{i}", i) for i in range(50)])
     source = frame(spark, [(i, f"s{i}", -i) for i in range(0, 100, 3)])

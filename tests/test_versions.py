@@ -104,9 +104,10 @@ def test_merge_without_a_match_only_adds_files(spark, root):
 
 
 def test_merge_with_repeated_source_key_leaves_no_version(spark, root):
-    source = spark.createDataFrame([(1, 1), (1, 2)], "k int, v int")
-    with pytest.raises(Exception, match="several rows for one key"):
-        versions.merge_version(spark, root, source, ["k"])
+    for key in (1, 100):
+        source = spark.createDataFrame([(key, 1), (key, 2)], "k int, v int")
+        with pytest.raises(Exception, match="several rows for one key"):
+            versions.merge_version(spark, root, source, ["k"])
     assert versions.latest_version(spark, root) == 0
 
 
