@@ -47,9 +47,22 @@ def save_delimited(
     quote: str = '"',
     escape: str = "\\",
     header: bool = True,
+    null_value: str = "",
 ) -> None:
-    """Delimited text with quoting."""
-    df.write.mode(mode).options(sep=delimiter, quote=quote, escape=escape, header=header).csv(path)
+    """Delimited text with quoting; blanks around texts are kept.
+
+    With the usual ``null_value`` an empty text reads back as NULL; give another
+    mark, here and in the scan, to tell them apart.
+    """
+    df.write.mode(mode).options(
+        sep=delimiter,
+        quote=quote,
+        escape=escape,
+        header=header,
+        nullValue=null_value,
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    ).csv(path)
 
 
 def save_text(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:

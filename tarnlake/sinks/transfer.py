@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tarnlake.operators.shape import quoted
+
 
 def copy_dataset(
     spark: SparkSession,
@@ -32,7 +35,6 @@ def copy_dataset(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(target)
-    reader = spark.read.format(target_format).options(**(target_options or {}))
-    if not partition_by:
-        reader = reader.schema(rows.schema)
-    return reader.load(target)
+    # The source's schema: types of partition columns would be guessed from folder names.
+    copied = spark.read.format(target_format).options(**(target_options or {})).schema(rows.schema).load(target)
+    return copied.select(*[F.col(quoted(c)) for c in rows.columns])

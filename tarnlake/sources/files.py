@@ -79,6 +79,7 @@ def scan_delimited(
     escape: str = "\\",
     header: bool = True,
     multi_line: bool = False,
+    null_value: str = "",
 ) -> DataFrame:
     """Delimited text with quoting.
 
@@ -87,7 +88,7 @@ def scan_delimited(
     task, so leave it off for large files that do not need it.
     """
     reader = spark.read.options(
-        sep=delimiter, quote=quote, escape=escape, header=header, multiLine=multi_line
+        sep=delimiter, quote=quote, escape=escape, header=header, multiLine=multi_line, nullValue=null_value
     )
     reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
     return reader.csv(path)

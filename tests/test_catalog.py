@@ -155,11 +155,17 @@ def test_project_json_escapes(spark):
     assert out.first().json == '{"firstName":"So\\"u","personAge":34}'
 
 
-def test_delimited_round_trip_with_quotes_and_breaks(spark, folder):
-    df = spark.createDataFrame([('a|b', 'say "x"'), ("line\nbreak", "back\\slash"), ("", None)], "a string, b string")
-    save_delimited(df.limit(2), folder)
-    back = scan_delimited(spark, folder, "a string, b string", multi_line=True)
-    assert content(back) == content(df.limit(2))
+def test_delimited_round_trip(spark, folder):
+    texts = ["a|b", 'say "x"', "line\nbreak", "back\\slash", "\\", "x\\", '"', " blanks ", '\\"', "cr\rlf\r\nz", "#c", "é€"]
+    df = spark.createDataFrame([(t, texts[-i]) for i, t in enumerate(texts)], "a string, b string")
+    save_delimited(df, folder)
+    assert content(scan_delimited(spark, folder, "a string, b string", multi_line=True)) == content(df)
+
+
+def test_delimited_null_mark(spark, folder):
+    df = spark.createDataFrame([("", None), (None, ""), ("x", " ")], "a string, b string")
+    save_delimited(df, folder, null_value="\\N")
+    assert content(scan_delimited(spark, folder, "a string, b string", null_value="\\N")) == content(df)
 
 
 def test_text_partition_folders(spark, folder):
@@ -185,6 +191,13 @@ def test_copy_between_formats(spark, folder, sample):
     assert content(back.select(*sample.columns)) == content(sample)
 
 
+def test_copy_keeps_types_of_partition_columns(spark, folder):
+    df = spark.createDataFrame([("01", 1, 2.5), ("1", 2, None), (None, 3, 0.5)], "p string, k int, d double")
+    save_parquet(df, f"{folder}/a")
+    back = copy_dataset(spark, f"{folder}/a", f"{folder}/b", partition_by=["p"])
+    assert back.dtypes == df.dtypes and content(back) == content(df)
+
+
 def test_json_inference_orders_fields(spark, folder):
     spark.sql("SELECT 2 AS z, 'x' AS a").write.json(folder)
     assert scan_json_lines(spark, folder).dtypes == [("a", "string"), ("z", "bigint")]
