@@ -26,7 +26,8 @@ def _measures(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
 
     def measure(name, column):
-        return F.struct(F.lit(name).alias("name"), F.col(column).alias("amount"), F.array("l_returnflag", "l_linestatus").alias("flags"))
+        flags = F.array("l_returnflag", "l_linestatus")
+        return F.struct(F.lit(name).alias("name"), F.col(column).alias("amount"), flags.alias("flags"))
 
     array = F.array(measure("quantity", "l_quantity"), measure("discount", "l_discount"))
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", F.to_json(array).alias("measures"))

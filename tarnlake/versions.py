@@ -161,7 +161,7 @@ def _write_files(df, root):
 def _read(spark, root, files, schema=None):
     paths = [f"{root}/data/{name}" for name in sorted(files)]
     if not paths:
-        return spark.createDataFrame([], schema)
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(*paths)
 

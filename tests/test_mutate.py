@@ -155,7 +155,8 @@ def test_small_source_is_not_shuffled_against_target(spark, folder):
     assert "BroadcastHashJoin [k" in plan and "LeftOuter" in plan and "SortMergeJoin" not in plan
     # The target's keys are filtered by the source before anything of them is shuffled.
     semi = plan.index("LeftSemi")
-    assert "Exchange hashpartitioning" in plan[:semi] and "Exchange hashpartitioning" not in plan[semi:].split("BroadcastExchange")[0]
+    assert "Exchange hashpartitioning" in plan[:semi]
+    assert "Exchange hashpartitioning" not in plan[semi:].split("BroadcastExchange")[0]
 
 
 def test_diff_counts(spark):
