@@ -43,6 +43,9 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert got[0] == want[0]
     assert len(got[1]) == len(want[1])
     assert got[1] == want[1]
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    for step in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
+        assert step not in plan
 
 
 def test_every_query_has_sql_but_those_without_one():
