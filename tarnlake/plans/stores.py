@@ -74,6 +74,14 @@ def _path_partitioned(spark, sf_dir):
     return spark.read.parquet(path).select(*rows.columns)
 
 
+@query("save_path_rebalanced", LINES_SQL)
+def _path_rebalanced(spark, sf_dir):
+    path = work_folder(spark)
+    rows = _lines(spark, sf_dir)
+    save_parquet(rows, path, partition_by=["l_returnflag", "l_linestatus"], rebalance=True)
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
 @query("save_delimited", PARTS_SQL)
 def _delimited(spark, sf_dir):
     rows = table(spark, sf_dir, "part")

@@ -13,12 +13,18 @@ def save_parquet(
     mode: str = "overwrite",
     partition_by: Sequence[str] = (),
     max_records_per_file: int = 0,
+    rebalance: bool = False,
 ) -> None:
     """Parquet to a path.
 
     With ``partition_by`` every task writes its own file per partition value:
-    no shuffle, and a frequent value is spread over all tasks.
+    no shuffle, and a frequent value is spread over all tasks.  With many
+    tasks and values that makes many small files; ``rebalance`` gathers the
+    rows of a value first, at the price of a shuffle, into pieces of the
+    advisory size, so small values share a task and a frequent one gets many.
     """
+    if rebalance:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

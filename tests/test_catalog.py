@@ -4,6 +4,7 @@ import glob
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnlake.catalog.columns import catalog_columns, column_facts, column_profile
 from tarnlake.catalog.ddl import (
@@ -178,6 +179,26 @@ def test_text_partition_folders(spark, folder):
     assert content(scan_text(spark, f"{folder}/year=2020/hour=1")) == [("row 1",), ("row 3",), ("row 5",)]
 
 
+def test_rebalanced_write_splits_a_hot_value(spark, folder):
+    hot = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)
+    df = spark.range(0, 200000, 1, 8).select("id", F.sha1(F.col("id").cast("string")).alias("v"), hot.alias("p"))
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        save_parquet(df, f"{folder}/a", partition_by=["p"])
+        save_parquet(df, f"{folder}/b", partition_by=["p"], rebalance=True)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    files = {n: len(glob.glob(f"{folder}/b/p={n}/*.parquet")) for n in range(50)}
+    assert files[0] > 1 and sum(files.values()) < len(glob.glob(f"{folder}/a/*/*.parquet")) == 400
+    assert spark.read.parquet(f"{folder}/b").select(F.sum("id"), F.count("v")).first() == (200000 * 199999 // 2, 200000)
+
+
 def test_append_batches(spark, folder, sample):
     assert append_batches([sample, sample.limit(3), sample.limit(0)], folder) == 3
     assert spark.read.parquet(folder).count() == 13
