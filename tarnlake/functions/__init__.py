@@ -8,6 +8,7 @@ from tarnlake.functions.text import (
     iso_timestamp,
     last_token,
     row_text,
+    strip_blanks,
     tail,
 )
 from tarnlake.functions.time import epoch_millis
@@ -21,5 +22,6 @@ __all__ = [
     "iso_timestamp",
     "last_token",
     "row_text",
+    "strip_blanks",
     "tail",
 ]

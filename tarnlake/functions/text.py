@@ -13,6 +13,11 @@ def init_upper(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, TO_THE_END))
 
 
+def strip_blanks(text: Column) -> Column:
+    """Without blanks, tabs, line breaks and other control characters at both ends."""
+    return F.btrim(text, F.lit("".join(map(chr, range(1, 33)))))
+
+
 def before_first(text: Column, mark: str = ":") -> Column:
     """Text before the first ``mark``; unchanged when there is none or it comes first."""
     return F.when(F.instr(text, mark) > 1, F.substring_index(text, mark, 1)).otherwise(text)

@@ -128,14 +128,15 @@ def _before_colon(spark, sf_dir):
 
 @query(
     "text_tests",
-    """SELECT conv_id, turn, trim("text", ' ') AS trimmed, starts_with("text", 'The') AS starts,
+    """SELECT conv_id, turn, trim("text", ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed,
+              starts_with("text", 'The') AS starts,
               contains("text", 'data') AS mentions FROM conversations""",
 )
 def _text_tests(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(
         "conv_id",
         "turn",
-        F.trim("text").alias("trimmed"),
+        text.strip_blanks(F.col("text")).alias("trimmed"),
         F.startswith("text", F.lit("The")).alias("starts"),
         F.contains("text", F.lit("data")).alias("mentions"),
     )

@@ -90,6 +90,11 @@ def test_text_functions(spark):
     assert digits == ["10", "2"]
 
 
+def test_strip_blanks(spark):
+    df = spark.createDataFrame([("\t a b\r\n ",), (" ",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.strip_blanks(F.col("t"))).collect()] == ["a b", "", "", None]
+
+
 def test_row_text(spark):
     df = spark.createDataFrame([(1, None, "x")], "a int, b int, c string")
     assert df.select(text.row_text("a", "b", "c")).first()[0] == "1,null,x"
