@@ -24,8 +24,8 @@ def before_first(text: Column, mark: str = ":") -> Column:
 
 
 def last_token(text: Column, mark: str = ".") -> Column:
-    """Part after the last ``mark``, the whole text when there is none."""
-    return F.substring_index(text, mark, -1)
+    """Last part of a text split at ``mark``; marks at the end are not followed by a part."""
+    return F.substring_index(F.rtrim(text, F.lit(mark)), mark, -1)
 
 
 def digit_groups(text: Column) -> Column:

@@ -38,7 +38,7 @@ def nest_columns(df: DataFrame, columns: Sequence[str], into: str) -> DataFrame:
 
 def normalize_names(df: DataFrame, lowercase: bool = True) -> DataFrame:
     """Drop a ``table.`` prefix from column names and lower-case them."""
-    names = [c.rsplit(".", 1)[-1] for c in df.columns]
+    names = [c.rstrip(".").rsplit(".", 1)[-1] or c for c in df.columns]
     if lowercase:
         names = [n.lower() for n in names]
     if len(set(names)) != len(names):

@@ -142,7 +142,7 @@ def _text_tests(spark, sf_dir):
     )
 
 
-@query("last_token", """SELECT page_id, split_part(url, '.', -1) AS token FROM pages""")
+@query("last_token", """SELECT page_id, split_part(rtrim(url, '.'), '.', -1) AS token FROM pages""")
 def _last_token(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.last_token(F.col("url")).alias("token"))
 

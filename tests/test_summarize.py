@@ -73,7 +73,7 @@ def test_total_length(spark):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("soufiane x",), ("",), (None,), (":a:b",), ("a:b:c",), ("db.t.c",)], "t string")
+    df = spark.createDataFrame([("soufiane x",), ("",), (None,), (":a:b",), ("a:b:c",), ("db.t.c",), ("x.y.",)], "t string")
     t = F.col("t")
     out = df.select(
         text.init_upper(t), text.before_first(t), text.last_token(t), text.count_char(t, ":"), text.tail(t, 2)
@@ -85,6 +85,7 @@ def test_text_functions(spark):
         (":a:b", ":a:b", ":a:b", 2, ":b"),
         ("A:b:c", "a", "a:b:c", 2, ":c"),
         ("Db.t.c", "db.t.c", "c", 0, ".c"),
+        ("X.y.", "x.y.", "y", 0, "y."),
     ]
     digits = spark.createDataFrame([("decimal(10,2)",)], "t string").select(text.digit_groups(t)).first()[0]
     assert digits == ["10", "2"]
