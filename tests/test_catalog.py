@@ -61,6 +61,15 @@ def test_managed_and_external(spark, db, folder, sample):
     assert spark.read.parquet(folder).count() == 10
 
 
+def test_managed_in_the_current_database(spark, sample):
+    name = f"managed_{uuid.uuid4().hex[:8]}"
+    for rows in (sample, sample.limit(2)):
+        save_table(rows, name)
+        assert spark.table(name).count() == rows.count()
+    drop_table(spark, name)
+    assert not spark.catalog.tableExists(name)
+
+
 def test_clone_copies_nothing(spark, db, folder, sample):
     save_table(sample, f"{db}.src", path=folder)
     before = set(glob.glob(f"{folder}/*"))
