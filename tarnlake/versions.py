@@ -12,7 +12,7 @@ scan of the columns it tests and a copy of the files it hits.
 
 Files are written first and the history row last, so a write that fails or is
 cut off is never visible.  Older versions stay readable.  One writer at a time:
-this is not a transaction log.
+this is not a transaction log, but two writers of one version are noticed.
 """
 
 from __future__ import annotations
@@ -209,4 +209,7 @@ def _entry(spark, root, version=None):
             return None
         version = max(numbers)
     # One folder of the history is read, the file lists of other versions are not.
-    return rows.filter(F.col("version") == version).first()
+    found = rows.filter(F.col("version") == version).take(2)
+    if len(found) > 1:
+        raise RuntimeError(f"version {version} in {root} was written by two writers")
+    return found[0] if found else None

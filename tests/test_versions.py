@@ -153,3 +153,12 @@ def test_history_cut_off_before_its_first_row(spark, folder):
     assert versions.latest_version(spark, folder) is None
     assert versions.write_version(spark.range(3), folder) == 0
     assert versions.read_latest(spark, folder).count() == 3
+
+
+def test_two_writers_are_noticed(spark, root):
+    entry = versions.history(spark, root)
+    entry.write.mode("append").partitionBy("version").parquet(f"{root}-copy")
+    entry.write.mode("append").partitionBy("version").parquet(f"{root}-copy")
+    spark.read.parquet(f"{root}-copy").write.partitionBy("version").parquet(f"{root}-two/history")
+    with pytest.raises(RuntimeError, match="two writers"):
+        versions.read_latest(spark, f"{root}-two")
