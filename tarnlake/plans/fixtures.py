@@ -80,17 +80,8 @@ def metastore(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     return databases, tables, storage, columns, params
 
 
-METASTORE_SQL = """
-WITH dbs AS (SELECT r_regionkey AS db_id, lower(r_name) AS name FROM region),
-tbls AS (SELECT c_custkey AS tbl_id, n_regionkey AS db_id, c_custkey + 1000000 AS sd_id, c_name AS tbl_name
-         FROM customer JOIN nation ON c_nationkey = n_nationkey),
-sds AS (SELECT c_custkey + 1000000 AS sd_id, c_custkey + 2000000 AS cd_id FROM customer),
-columns_v2 AS (SELECT o_custkey + 2000000 AS cd_id, 'col_' || o_orderkey AS column_name,
-                      lower(o_orderpriority) AS type_name FROM orders),
-table_params AS (SELECT o_custkey AS tbl_id,
-                        CASE WHEN o_orderstatus = 'F' THEN 'comment' ELSE 'owner' END AS param_key,
-                        o_orderpriority AS param_value FROM orders WHERE o_orderstatus <> 'P'),
-comments AS (SELECT DISTINCT tbls.tbl_id AS tbl_id,
-                    CASE WHEN param_key = 'comment' THEN param_value ELSE '' END AS tbl_comment
-             FROM tbls JOIN table_params ON tbls.tbl_id = table_params.tbl_id)
+# The same in SQL, straight from the given tables: the remarks of each customer.
+REMARKS_SQL = """
+SELECT DISTINCT o_custkey AS tbl_id, CASE o_orderstatus WHEN 'F' THEN o_orderpriority ELSE '' END AS tbl_comment
+FROM orders WHERE o_orderstatus <> 'P' AND o_custkey IN (SELECT c_custkey FROM customer)
 """
