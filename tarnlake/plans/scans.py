@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tarnlake.operators.shape import normalize_names
@@ -160,7 +162,7 @@ def _staged_split(spark, sf_dir):
        FROM lineitem WHERE l_quantity >= 25""",
 )
 def _unload(spark, sf_dir):
-    view = "unload_lineitem"
+    view = f"lineitem_{uuid.uuid4().hex[:12]}"
     table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"
     ).createOrReplaceTempView(view)
@@ -182,11 +184,12 @@ def _catalog(spark, sf_dir):
     "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag",
 )
 def _parameters(spark, sf_dir):
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("parameter_lineitem")
+    view = f"lineitem_{uuid.uuid4().hex[:12]}"
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView(view)
     return scan_sql(
         spark,
         "SELECT l_returnflag, count(*) AS n FROM IDENTIFIER(:name) WHERE l_quantity > :low GROUP BY l_returnflag",
-        {"name": "parameter_lineitem", "low": 10},
+        {"name": view, "low": 10},
     )
 
 
