@@ -25,9 +25,10 @@ def count_rows(df: DataFrame, into: str = "rows") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(into))
 
 
-def total_length(df: DataFrame, column: str = "value", into: str = "total_chars") -> DataFrame:
-    """Length of all texts together."""
-    return df.agg(F.sum(F.length(column)).alias(into))
+def total_length(df: DataFrame, column: str = "value", into: str = "total_chars", utf16: bool = False) -> DataFrame:
+    """Length of all texts together, in characters, or in UTF-16 units as the JVM counts them."""
+    length = F.octet_length(F.encode(column, "UTF-16BE")) / 2 if utf16 else F.length(column)
+    return df.agg(F.sum(length.cast("bigint")).alias(into))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -32,6 +32,15 @@ def _total_length(spark, sf_dir):
     return total_length(table(spark, sf_dir, "documents"), "text")
 
 
+@query(
+    "total_length_utf16",
+    r"""SELECT CAST(sum(length("text") + length(regexp_replace("text", '[\x{0}-\x{FFFF}]', '', 'g'))) AS BIGINT)
+              AS total_units FROM documents""",
+)
+def _total_length_utf16(spark, sf_dir):
+    return total_length(table(spark, sf_dir, "documents"), "text", into="total_units", utf16=True)
+
+
 @query(
     "first_per_key",
     f"""SELECT * FROM ({FLAT_EVENTS_SQL})

@@ -72,6 +72,11 @@ def test_total_length(spark):
     assert total_length(df).first()[0] == 5
 
 
+def test_total_length_in_utf16_units(spark):
+    df = spark.createDataFrame([("ab",), (None,), ("č😀€",)], "value string")
+    assert total_length(df, utf16=True).first()[0] == 6 and total_length(df).first()[0] == 5
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("soufiane x",), ("",), (None,), (":a:b",), ("a:b:c",), ("db.t.c",), ("x.y.",)], "t string")
     t = F.col("t")
