@@ -37,6 +37,11 @@ def catalog_columns(
     distinct comments is listed once per comment.  ``table`` (``db.table``)
     keeps one table.
     """
+    if table is not None:
+        # Told to the sources in their own columns; the name may hold several dots.
+        dots = [i for i, char in enumerate(table) if char == "."]
+        databases = databases.filter(F.col("NAME").isin([table[:i] for i in dots]))
+        tables = tables.filter(F.col("TBL_NAME").isin([table[i + 1 :] for i in dots]))
     per_table = (
         databases.join(tables, "DB_ID")
         .join(storage, "SD_ID")

@@ -36,9 +36,15 @@ def connection(spark: SparkSession) -> dict[str, str]:
     return {"url": f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "driver": DERBY_DRIVER}
 
 
-def load(rows: DataFrame, options: Mapping[str, str], name: str) -> str:
-    """Write a frame to a database table, in parallel; returns the table's name there."""
+def load(rows: DataFrame, options: Mapping[str, str], name: str, text_type: str | None = None) -> str:
+    """Write a frame to a database table, in parallel; returns the table's name there.
+
+    ``text_type`` is the database's type for texts, by default what Spark picks.
+    """
     writer = rows.write.format("jdbc").options(**options).option("dbtable", name).option("batchsize", "5000")
+    texts = [f"{column} {text_type}" for column, dtype in rows.dtypes if dtype == "string"]
+    if text_type and texts:
+        writer = writer.option("createTableColumnTypes", ", ".join(texts))
     writer.mode("overwrite").save()
     return name
 

@@ -119,6 +119,11 @@ def test_listing_leaves_out_tables_without_parameters(spark):
         [("db.a", "x", "int"), ("db.a", "y", "string"), ("db.c", "w", "date"), ("db.c", "w", "date")]
     )
     assert content(catalog_columns(*frames, table="db.a")) == [("db.a", "x", "int"), ("db.a", "y", "string")]
+    assert catalog_columns(*frames, table="db.b").count() == 0 == catalog_columns(*frames, table="db").count()
+    # A name with several dots is the same text, wherever the database ends.
+    dotted = (frames[0].withColumn("NAME", F.lit("d.b")), frames[1].withColumn("TBL_NAME", F.lit("t.a")), *frames[2:])
+    assert catalog_columns(*dotted, table="d.b.t.a").count() == 4
+    assert catalog_columns(*dotted, table="d.b.t").count() == 0
 
 
 def test_profile(spark):
