@@ -72,11 +72,12 @@ def merge_version(spark: SparkSession, root: str, source: DataFrame, keys: Seque
     source's smallest and largest one, so on a table that is roughly ordered by
     key, most of it is skipped by its file statistics.
     """
-    source_keys = source.select(*[F.col(quoted(k)).alias(f"_key{i}") for i, k in enumerate(keys)])
 
     def hit(rows):
-        match = [F.col(quoted(k)) == F.col(f"_key{i}") for i, k in enumerate(keys)]
-        return _between(rows, source, keys).join(source_keys, match, "left_semi")
+        # Compared as the target's types, as the merge does.
+        wanted = source.select(*[F.col(quoted(k)).cast(rows.schema[k].dataType).alias(k) for k in keys])
+        match = [F.col(f"t.{quoted(k)}") == F.col(f"s.{quoted(k)}") for k in keys]
+        return _between(rows, wanted, keys).alias("t").join(wanted.alias("s"), match, "left_semi")
 
     return _change(spark, root, hit, lambda rows: merge_upsert(rows, source, keys), "MERGE", ",".join(keys))
 

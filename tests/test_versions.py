@@ -162,3 +162,12 @@ def test_two_writers_are_noticed(spark, root):
     spark.read.parquet(f"{root}-copy").write.partitionBy("version").parquet(f"{root}-two/history")
     with pytest.raises(RuntimeError, match="two writers"):
         versions.read_latest(spark, f"{root}-two")
+
+
+def test_merge_compares_keys_as_the_targets_type(spark, folder):
+    versions.write_version(spark.range(0, 20, 1, 4).selectExpr("CAST(id AS INT) AS k", "'old' AS v"), folder)
+    source = spark.createDataFrame([("9", "new"), ("10", "new"), ("100", "new")], "k string, v string")
+    versions.merge_version(spark, folder, source, ["k"])
+    latest = versions.read_latest(spark, folder)
+    assert latest.dtypes == [("k", "int"), ("v", "string")] and latest.count() == 21
+    assert sorted(r.k for r in latest.filter("v = 'new'").collect()) == [9, 10, 100]
