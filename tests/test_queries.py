@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tarnlake.plans import ORACLES, QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -33,7 +34,7 @@ def canonical(names, rows):
     return sorted(names), sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, sf_dir, name):
     result = queries()[name](spark, sf_dir)
     got = canonical(result.columns, [tuple(r) for r in result.collect()])
@@ -49,7 +50,8 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 
 
 def test_every_query_has_sql_but_those_without_one():
-    assert set(queries()) - set(oracle_sql()) == {"partition_sizes"}
+    assert set(QUERIES) - set(ORACLES) == {"partition_sizes"}
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_partition_sizes(spark, sf_dir):
