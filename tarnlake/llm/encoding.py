@@ -17,11 +17,15 @@ import numpy as np
 WHITE = "\t-\r \x85\xa0  -     　"
 _PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _WHITE_BEFORE_BLANK = re.compile(f"[{WHITE}] ")
+WHITE_SIGNS = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{WHITE}]", chr(c)))
 #: Words remembered by one worker before it starts anew, and the length beyond which a word is not remembered.
 MEMO_WORDS = 400_000
 MEMO_CHARS = 64
-#: Words sent to the library at once.
+#: Words sent to the library at once, and in one string.
 BATCH_WORDS = 20_000
+JOINED_WORDS = 500
+#: Signs to set between words in one string; the first that makes a single id after a blank is taken.
+SEPARATORS = "|§¦~^"
 
 
 def load(path: str):
@@ -43,12 +47,20 @@ def words(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts; ``result`` turns the ids of a word into what is remembered of it."""
+    """Encodes texts; `result` says what is remembered of a word's ids."""
 
-    def __init__(self, path: str, result):
+    def __init__(self, path: str):
         self._library = load(path)
-        self._result = result
         self._memo: dict = {}
+        self._separator = self._mark = None
+        for sign in SEPARATORS:
+            ids = self._library.encode(" " + sign, add_special_tokens=False).ids
+            if len(ids) == 1:
+                self._separator, self._mark = sign, ids[0]
+                break
+
+    def result(self, ids: np.ndarray):
+        return ids
 
     def encode(self, texts: list[str]) -> list[list]:
         """For each text, what is remembered of its words in turn."""
@@ -59,23 +71,56 @@ class Encoder:
         missing = set()
         for parts in split:
             missing.update(parts)
-        missing = sorted(word for word in missing if word not in memo)
-        for start in range(0, len(missing), BATCH_WORDS):
-            batch = missing[start : start + BATCH_WORDS]
-            for word, done in zip(batch, self._library.encode_batch(batch, add_special_tokens=False), strict=True):
-                memo[word] = self._result(done.ids)
+        missing = [word for word in missing if word not in memo]
+        together, alone = [], []
+        for word in missing:
+            (together if self._can_be_joined(word) else alone).append(word)
+        for start in range(0, len(together), BATCH_WORDS):
+            alone += self._encode_joined(together[start : start + BATCH_WORDS])
+        for start in range(0, len(alone), BATCH_WORDS):
+            batch = alone[start : start + BATCH_WORDS]
+            for word, ids in zip(batch, self._ids(batch), strict=True):
+                memo[word] = self.result(ids)
         encoded = [[memo[word] for word in parts] for parts in split]
         for word in missing:
             if len(word) > MEMO_CHARS:
                 del memo[word]
         return encoded
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        # The fast form leaves out the places of tokens in the text.
+        return [np.array(e.ids, dtype="<u4") for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _can_be_joined(self, word: str) -> bool:
+        """It begins with white space, ends without, and doesn't hold the sign between words."""
+        return (
+            self._separator is not None
+            and word[0] in WHITE_SIGNS
+            and word[-1] not in WHITE_SIGNS
+            and self._separator not in word
+        )
+
+    def _encode_joined(self, batch: list[str]) -> list[str]:
+        """Remembers words that are encoded many to a string; returns those that could not be told apart."""
+        runs = [batch[i : i + JOINED_WORDS] for i in range(0, len(batch), JOINED_WORDS)]
+        odd = []
+        for run, ids in zip(runs, self._ids([f" {self._separator}".join(run) for run in runs]), strict=True):
+            ends = [*np.flatnonzero(ids == self._mark).tolist(), len(ids)]
+            if len(ends) != len(run):
+                odd += run
+                continue
+            start = 0
+            for word, end in zip(run, ends, strict=True):
+                self._memo[word] = self.result(ids[start:end])
+                start = end + 1
+        return odd
+
 
 class IdEncoder(Encoder):
     """Ids as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str):
-        super().__init__(path, lambda ids: np.array(ids, dtype="<u4").tobytes())
+    def result(self, ids: np.ndarray) -> bytes:
+        return ids.tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [b"".join(parts) for parts in self.encode(texts)]
@@ -84,8 +129,8 @@ class IdEncoder(Encoder):
 class CountEncoder(Encoder):
     """Numbers of ids."""
 
-    def __init__(self, path: str):
-        super().__init__(path, len)
+    def result(self, ids: np.ndarray) -> int:
+        return len(ids)
 
     def counts(self, texts: list[str]) -> list[int]:
         return [sum(parts) for parts in self.encode(texts)]
