@@ -1,0 +1,68 @@
+"""Token ids and counts against the library, and the cache."""
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tarnlake.llm import tokens
+from tarnlake.llm.encoding import CountEncoder, IdEncoder, words
+
+FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
+SIGNS = list("ab|' \n\t\x1c\x85\xa0é́Σİ1½<>!§　​") + ["<|endoftext|>", "<|startoftext|>", "  ", "'ll", "word "]
+SCHEMA = "doc_id bigint, text string, n_tokens string, content int"
+
+
+@pytest.fixture(scope="module")
+def encoders():
+    paths = [public_tokenizers.path(f) for f in FILES]
+    return [(Tokenizer.from_file(p), IdEncoder(p), CountEncoder(p)) for p in paths]
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(SIGNS), max_size=30).map("".join), max_size=8))
+def test_words_give_the_ids_of_the_text(encoders, texts):
+    for library, ids, counts in encoders:
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [list(memoryview(x).cast("I")) for x in ids.ids(texts)] == want
+        assert counts.counts(texts) == [len(x) for x in want]
+    for text in texts:
+        assert "".join(words(text)) == text
+
+
+def rows():
+    rows = [(i, f"text number {i % 7}\n or so" + "  " * (i % 3), "k", 1) for i in range(60)]
+    return rows + [(100, None, None, None), (101, "", "", 0), (None, "x y", "", 0), (None, "x y", "", 0), (5, "other", "", 0), (102, "é " * 90_000, "", 0)]
+
+
+@pytest.mark.parametrize(("file", "normalise"), [(FILES[0], tokens.as_is), (FILES[1], tokens.single_blanks)])
+def test_counts_and_cache(spark, folder, file, normalise):
+    path = public_tokenizers.path(file)
+    library = Tokenizer.from_file(path)
+    frame = spark.createDataFrame(rows(), SCHEMA).repartition(4)
+    want = sorted(
+        ((str(i), len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows())
+    )
+    get = lambda: sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in tokens.count_tokens(frame, folder, path, normalise).collect())
+    assert get() == want
+    stored = spark.read.schema(tokens.CACHE_SCHEMA).parquet(folder)
+    size = stored.count()
+    assert size == stored.select("content").distinct().count() <= len({t or "" for _, t, *_ in rows()})
+    # A second run finds all, and a planted count is taken from the cache rather than encoded anew.
+    assert get() == want and spark.read.schema(tokens.CACHE_SCHEMA).parquet(folder).count() == size
+    other = spark.createDataFrame([(1, "new text", "", 0), (2, rows()[0][1], "", 0)], SCHEMA)
+    tokens.fill_cache(other, folder, path, normalise)
+    assert spark.read.schema(tokens.CACHE_SCHEMA).parquet(folder).count() == size + 1
+
+
+def test_tokenizers_do_not_share_counts(spark, folder):
+    frame = spark.createDataFrame([(1, "Unusualness of words", "", 0)], SCHEMA)
+    counts = [tokens.count_tokens(frame, folder, public_tokenizers.path(f)).first().n_tokens for f in FILES]
+    want = [len(Tokenizer.from_file(public_tokenizers.path(f)).encode("Unusualness of words", add_special_tokens=False).ids) for f in FILES]
+    assert counts == want
+
+
+def test_no_rows(spark, folder):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert tokens.count_tokens(empty, folder, public_tokenizers.path(FILES[1])).collect() == []
