@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 
 import numpy as np
 
@@ -19,7 +21,7 @@ _PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _WHITE_BEFORE_BLANK = re.compile(f"[{WHITE}] ")
 WHITE_SIGNS = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{WHITE}]", chr(c)))
 #: Words remembered by one worker before it starts anew, and the length beyond which a word is not remembered.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 MEMO_CHARS = 64
 #: Words sent to the library at once, and in one string.
 BATCH_WORDS = 20_000
@@ -136,6 +138,16 @@ class CountEncoder(Encoder):
         return [sum(parts) for parts in self.encode(texts)]
 
 
+def worker_encoder(kind: type[Encoder], path: str) -> Encoder:
+    """The encoder of this worker process, which keeps its words from task to task."""
+    state = sys.modules.setdefault("_tarnlake_encoders", types.ModuleType("_tarnlake_encoders"))
+    file = os.stat(path)
+    name = f"{kind.__name__} {path} {file.st_size} {file.st_mtime_ns}"
+    if name not in vars(state):
+        setattr(state, name, kind(path))
+    return getattr(state, name)
+
+
 def slices(texts: list[str], most_chars: int = 4_000_000):
     """Runs of texts of bounded total length, a longer text alone: (start, end) positions."""
     start, chars = 0, 0

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.encoding import IdEncoder, slices
+from tarnlake.llm.encoding import IdEncoder, slices, worker_encoder
 
 END_ID = 1
 ID_BYTES = 4
@@ -106,7 +106,7 @@ def pack(
     """
 
     def packed(batches):
-        encoder, end = IdEncoder(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
+        encoder, end = worker_encoder(IdEncoder, tokenizer), np.array([END_ID], dtype="<u4").tobytes()
         base = TaskContext.get().partitionId() * SEQUENCES_PER_PARTITION
         for block in _blocks(batches, encoder, end):
             lengths = [len(ids) // ID_BYTES for _, ids in block]

@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.encoding import CountEncoder, slices
+from tarnlake.llm.encoding import CountEncoder, slices, worker_encoder
 
 CACHE_SCHEMA = "content binary, tokenizer binary, n_tokens bigint"
 #: Part of the tokenizer's digest, to be changed with anything here that changes a count.
@@ -67,7 +67,7 @@ def fill_cache(docs: DataFrame, cache: str, tokenizer: str, normalise=as_is) ->
     misses = rows.groupBy("content").agg(F.min("row").alias("row")).join(known, "content", "left_anti")
 
     def encoded(batches):
-        encoder = CountEncoder(tokenizer)
+        encoder = worker_encoder(CountEncoder, tokenizer)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = [n for a, b in slices(texts) for n in encoder.counts(texts[a:b])]
