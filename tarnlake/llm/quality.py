@@ -100,14 +100,15 @@ def text_statistics(text: str) -> tuple[float, ...]:
     )
 
 
-@F.pandas_udf(", ".join(f"{name} double" for name in STATISTICS))
-def _statistics(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_statistics(text) for text in texts], columns=list(STATISTICS), dtype="float64")
-
-
 def statistics(text: Column) -> Column:
     """A struct of the statistics of a text column."""
-    return _statistics(F.coalesce(text, F.lit("")))
+
+    # Made here, since a type is read by a running session.
+    @F.pandas_udf(", ".join(f"{name} double" for name in STATISTICS))
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_statistics(one) for one in texts], columns=list(STATISTICS), dtype="float64")
+
+    return measured(F.coalesce(text, F.lit("")))
 
 
 @dataclass(frozen=True)
