@@ -1,0 +1,107 @@
+"""Decontamination: the index against all fingerprints, windows against all windows, planted passages."""
+
+import random
+
+import numpy as np
+import pytest
+
+from tarnlake.llm import decontaminate as d
+
+SCHEMA = "doc_id bigint, text string, item_id string, similarity int"
+
+
+def words(draw, n):
+    return [f"w{draw.randrange(3000)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def items():
+    draw = random.Random(8)
+    rows = [(i, " ".join(words(draw, 12 + i % 30))) for i in range(60)]
+    return rows + [(70, "two words"), (71, None), (72, ""), (73, "..."), (74, "Five words make one shingle"), (75, rows[3][1])]
+
+
+def plain(items, text):
+    """For each item the best similarity of any window, where its fingerprint is within the radius."""
+    out = {}
+    body = d.plain_words(text.encode())
+    lengths = np.array(list(map(len, body.split())), dtype=np.int64)
+    for item_id, item_text in items:
+        item = d.make_item(item_id, (item_text or "").encode())
+        if item is None or len(lengths) < item.size:
+            continue
+        shingles = d.sequence_hashes(d.word_hashes(body), item.size)
+        weights = d.shingle_weights(lengths, item.size)
+        own = d.fingerprints((d._signs(item.shingles) * item.weights[:, None]).sum(axis=0)[None, :])[0]
+        wide = min(item.n_words - item.size + 1, len(shingles))
+        for start in range(len(shingles) - wide + 1):
+            s, w = shingles[start : start + wide], weights[start : start + wide]
+            similar = item.similarity(s, w)
+            if similar < d.SIMILARITY:
+                continue
+            mark = d.fingerprints((d._signs(s) * w[:, None]).sum(axis=0)[None, :])[0]
+            if np.bitwise_count(mark ^ own) <= d.RADIUS and similar > out.get(item_id, (0,))[0]:
+                out[item_id] = (similar, start)
+    return out
+
+
+def test_table_finds_all_within_the_radius(items):
+    index = d.ItemIndex([(i, t.encode()) for i, t in items if t])
+    draw = np.random.default_rng(4)
+    prints = np.concatenate([index.prints, draw.integers(0, 2**64, 300, dtype=np.uint64)])
+    for flips in (1, 8, 15, 19):
+        some = index.prints.copy()
+        for i in range(len(some)):
+            for bit in draw.choice(64, flips, replace=False):
+                some[i] ^= np.uint64(1) << np.uint64(bit)
+        prints = np.concatenate([prints, some])
+    window, item = index.within_radius(prints)
+    want = np.bitwise_count(prints[:, None] ^ index.prints[None, :]) <= d.RADIUS
+    assert set(zip(window.tolist(), item.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(want))))
+
+
+def documents(items):
+    draw = random.Random(9)
+    rows = []
+    for i, (item_id, text) in enumerate(items[:60]):
+        passage = text.split()
+        if i % 3 == 1:
+            passage[0] = "changed"
+        if i % 3 == 2:
+            passage = [w.upper() + "***" for w in passage]
+        rows.append((i, " ".join(words(draw, 40) + passage + words(draw, 25)), "k", 1))
+    rows += [(100 + i, " ".join(words(draw, 200)), "k", 1) for i in range(40)]
+    rows += [(200, None, None, None), (201, "", "", 0), (202, "two words", "", 0), (203, "so two words then", "", 0), (204, "...", "", 0)]
+    rows += [(205, "x y " * 60_000 + items[5][1], "", 0), (None, items[6][1], "", 0), (None, "fine text", "", 0), (206, items[7][1][: len(items[7][1]) // 2], "", 0)]
+    return rows + [rows[0], rows[0], (207, "five WORDS make one shingle!", "", 0), (208, (items[9][1] + " ") * 30, "", 0)]
+
+
+def test_matches_equal_all_windows(spark, items):
+    rows = documents(items)
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = d.find_matches(frame, benchmark).collect()
+    want = [(str(i), k, s, p) for i, t, *_ in rows for k, (s, p) in plain(items, t or "").items()]
+    assert sorted((str(r.doc_id), r.item_id, r.similarity, r.first_word) for r in got) == sorted(want)
+    assert {i for i in range(60) if i % 3 != 1} <= {r.doc_id for r in got} and not {r.doc_id for r in got} & set(range(100, 140))
+    left = d.drop_contaminated(frame, benchmark)
+    assert left.columns == frame.columns
+    clean = sorted(str(i) for i, t, *_ in rows if not plain(items, t or ""))
+    assert sorted(str(r.doc_id) for r in left.collect()) == clean
+
+
+def test_blocks_of_items(spark, items, monkeypatch):
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    frame = spark.createDataFrame(documents(items), SCHEMA)
+    whole = sorted(map(str, d.find_matches(frame, benchmark).collect()))
+    monkeypatch.setattr(d, "MOST_ITEMS", 20)
+    assert [len(b) for b in d.item_blocks(benchmark)] == [20, 20, 20, 5]
+    assert sorted(map(str, d.find_matches(frame, benchmark).collect())) == whole
+
+
+def test_no_rows(spark, items):
+    none, benchmark = spark.createDataFrame([], SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
+    assert d.find_matches(none, benchmark).collect() == [] and d.drop_contaminated(none, benchmark).collect() == []
+    frame = spark.createDataFrame(documents(items), SCHEMA)
+    assert d.find_matches(frame, benchmark.limit(0)).collect() == []
+    assert d.drop_contaminated(frame, benchmark.limit(0)).count() == frame.count()

@@ -1,0 +1,78 @@
+"""The registered queries: SQL where there is some, whole tables, and the pipeline."""
+
+import math
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from __spark_entry__ import oracle_sql, queries
+from tarnlake.llm import exact, near
+from tarnlake.llm.decontaminate import find_matches
+from tarnlake.llm.registry import ORACLES, QUERIES, table
+
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    yield connection
+    connection.close()
+
+
+def canonical(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(names), sorted((tuple(row[i] for i in order) for row in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, duck, sf_dir, name):
+    result = QUERIES[name](spark, sf_dir)
+    cursor = duck.execute(ORACLES[name])
+    want = canonical([d[0] for d in cursor.description], cursor.fetchall())
+    assert canonical(result.columns, [tuple(r) for r in result.collect()]) == want
+
+
+def test_one_query_each():
+    numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
+    assert numbers == list(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLES) <= set(oracle_sql())
+
+
+def test_pipeline_stages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    columns, names = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir).cache()
+        assert kept.columns == columns and 0 < kept.count() <= docs.count()
+        before = {r.doc_id: r for r in docs.collect()}
+        assert all(before[r.doc_id] == r for r in kept.collect())
+        docs = kept
+        names.append(name)
+    assert names == ["quality", "exact_dedup", "near_dedup", "decontamination"]
+    assert exact.mark_duplicates(docs).where("not kept").count() == 0
+    assert near.near_components(docs, 5, 80).where("not kept").count() == 0
+    assert find_matches(docs, table(spark, sf_dir, "benchmark")).count() == 0
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}
+    tokens = sum(r.length for r in pieces)
+    assert tokens == sum(r.doc_tokens for r in pieces if r.start == 0)
+    assert len({r.sequence_id for r in pieces}) == math.ceil(tokens / 2048)
+
+
+def test_pipeline_with_odd_rows(spark, sf_dir, tmp_path):
+    for name in ("benchmark", "labels"):
+        table(spark, sf_dir, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    schema = table(spark, sf_dir, "documents").schema
+    some = table(spark, sf_dir, "documents").limit(40).collect()
+    rows = [tuple(r) for r in some] + [tuple(some[0])] * 3
+    rows += [(None, None, None, None, None), (None, "A text without a name.", None, None, None), (10**6, "", "en", "s", 0)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    firsts = [r.doc_id for r in pieces if r.start == 0 and r.doc_id is not None]
+    assert len(firsts) == len(set(firsts)) > 0
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
