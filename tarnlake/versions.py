@@ -3,12 +3,16 @@
 Layout below a root folder::
 
     data/<id>/                Parquet files written by one change
-    history/version=<n>/      one row per finished version, with its list of files
+    incoming/<id>/            a merge's source, as it was when the merge ran
+    history/version=<n>/      one row per finished version
 
-A version is a list of files.  An overwrite stores all rows anew; an update, a
-delete or a merge rewrites only the files that hold a row it changes and shares
-the others with the version before, so a small change to a large table costs a
-scan of the columns it tests and a copy of the files it hits.
+A version is a list of folders, each with the names of its files that later
+changes replaced.  An overwrite stores all rows anew; an update, a delete or a
+merge rewrites only the files that hold a row it changes and shares the others
+with the version before, so a small change to a large table costs a scan of the
+columns it tests and a copy of the files it hits.  A read is given folders, as
+many as changes, and leaves replaced files out by name before they are opened;
+schema and row count come from the history.
 
 Files are written first and the history row last, so a write that fails or is
 cut off is never visible.  Older versions stay readable.  One writer at a time:
@@ -17,21 +21,22 @@ this is not a transaction log, but two writers of one version are noticed.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, IntegralType, StringType
+from pyspark.sql.types import DateType, IntegralType, StringType, StructType
 
 from tarnlake.operators.mutate import delete_where, diff_counts, expression, merge_upsert, update_where
 from tarnlake.operators.shape import quoted
 
+# "columns" is the version's schema as JSON; "replaced" names files as folder/file.
 HISTORY_SCHEMA = (
-    "committed_at timestamp, operation string, parameters string, row_count bigint, "
-    "files array<string>, version int"
+    "committed_at timestamp, operation string, parameters string, row_count bigint, columns string, "
+    "folders array<struct<name: string, files: bigint, replaced: array<string>>>, version int"
 )
 
 
@@ -39,11 +44,8 @@ def write_version(df: DataFrame, root: str, operation: str = "WRITE", parameters
     """Store all rows of a frame as the next version and return its number, counted from 0."""
     spark = df.sparkSession
     latest = _entry(spark, root)
-    files = _write_files(df, root)
-    # Counted from what is stored, here and below: a count taken during the
-    # write could be wrong after a retried task.  It reads footers, no columns.
-    row_count = _read(spark, root, files, df.schema).count()
-    return _commit(spark, root, latest, files, row_count, operation, parameters)
+    folders, row_count = _write_folder(df, root)
+    return _commit(spark, root, latest, folders, row_count, df.schema, operation, parameters)
 
 
 def update_version(
@@ -68,11 +70,16 @@ def delete_version(spark: SparkSession, root: str, condition: str | Column) -> i
 def merge_version(spark: SparkSession, root: str, source: DataFrame, keys: Sequence[str]) -> int:
     """Write the next version with a source merged in.
 
-    The search for the files to rewrite reads the target's keys between the
+    The source is stored first and searched and merged from that copy, as a
+    live table may give other rows each time it is read.  The search for the files to rewrite reads the target's keys between the
     source's smallest and largest one, so on a table that is roughly ordered by
     key, most of it is skipped by its file statistics.
     """
 
+    path = f"{root}/incoming/{uuid.uuid4().hex}"
+    source.write.parquet(path)
+    source = spark.read.schema(source.schema).parquet(path)
+
     def hit(rows):
         # Compared as the target's types, as the merge does.
         wanted = source.select(*[F.col(quoted(k)).cast(rows.schema[k].dataType).alias(k) for k in keys])
@@ -83,7 +90,7 @@ def merge_version(spark: SparkSession, root: str, source: DataFrame, keys: Seque
 
 
 def history(spark: SparkSession, root: str) -> DataFrame:
-    """One row per version: number, time, operation, parameters, row count, files."""
+    """One row per version: number, time, operation, parameters, row count, columns, folders."""
     return spark.read.schema(HISTORY_SCHEMA).parquet(f"{root}/history")
 
 
@@ -98,12 +105,12 @@ def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
     entry = _entry(spark, root, version)
     if entry is None:
         raise ValueError(f"no version {version} in {root}")
-    return _read(spark, root, entry["files"])
+    return _read(spark, root, entry)
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
     """The rows of the newest version."""
-    return _read(spark, root, _existing(spark, root)["files"])
+    return _read(spark, root, _existing(spark, root))
 
 
 def register_latest(spark: SparkSession, root: str, view: str) -> None:
@@ -114,30 +121,46 @@ def register_latest(spark: SparkSession, root: str, view: str) -> None:
 def version_diff(spark: SparkSession, root: str, before: int, after: int, keys: Sequence[str]) -> DataFrame:
     """Inserted, updated and deleted row counts between two versions.
 
-    Files that both versions share hold no difference and are not read.
+    Files that both versions share hold no difference and are not read.  A
+    column that only one of them has counts as NULL in the other; both need the
+    keys.
     """
     found = [_entry(spark, root, v) for v in (before, after)]
     for number, entry in zip((before, after), found):
         if entry is None:
             raise ValueError(f"no version {number} in {root}")
-    old, new = (set(entry["files"]) for entry in found)
-    schema = _read(spark, root, found[0]["files"]).schema
-    return diff_counts(_read(spark, root, old - new, schema), _read(spark, root, new - old, schema), keys)
+        missing = [k for k in keys if k not in _schema(entry).fieldNames()]
+        if missing:
+            raise ValueError(f"version {number} in {root} has no column {', '.join(missing)}")
+    old, new = (_unshared(spark, root, entry, other) for entry, other in (found, found[::-1]))
+    for here, there in ((old, new), (new, old)):
+        for field in there.schema.fields:
+            if field.name not in here.columns:
+                here = here.withColumn(field.name, F.lit(None).cast(field.dataType))
+        old, new = new, here
+    return diff_counts(old, new, keys)
 
 
 def _change(spark, root, hit, change, operation, parameters):
     """Rewrite the files holding rows that ``hit`` keeps by ``change``, share the others."""
     latest = _existing(spark, root)
-    rows = _read(spark, root, latest["files"])
-    # File names are metadata, as many as Spark lists for the scan anyway.
-    name = F.substring_index("_metadata.file_path", "/", -2)
-    found = hit(rows.withColumn("_file", name)).select("_file").distinct().collect()
+    # Names of the files to replace: as many as are rewritten.
+    found = hit(_read(spark, root, latest, named=True)).select("_file").distinct().collect()
     touched = {f[0] for f in found}
-    old = _read(spark, root, touched, rows.schema)
-    files = _write_files(change(old), root) if touched or operation == "MERGE" else []
-    kept = [f for f in latest["files"] if f not in touched]
-    row_count = latest["row_count"] - old.count() + _read(spark, root, files, rows.schema).count()
-    return _commit(spark, root, latest, kept + files, row_count, operation, parameters)
+    if not touched and operation != "MERGE":
+        return _commit(
+            spark, root, latest, latest["folders"], latest["row_count"], _schema(latest), operation, parameters
+        )
+    hit_folders = [f["name"] for f in latest["folders"] if any(t.startswith(f["name"] + "/") for t in touched)]
+    old = _scan(spark, root, hit_folders, _schema(latest), only=touched)
+    written, row_count = _write_folder(change(old), root)
+    kept = []
+    for name, files, replaced in latest["folders"]:
+        replaced = [*replaced, *sorted(t for t in touched if t.startswith(name + "/"))]
+        if len(replaced) < files:
+            kept.append((name, files, replaced))
+    row_count += latest["row_count"] - old.count()
+    return _commit(spark, root, latest, kept + written, row_count, _schema(latest), operation, parameters)
 
 
 def _between(rows, source, keys):
@@ -151,35 +174,57 @@ def _between(rows, source, keys):
     return rows
 
 
-def _write_files(df, root):
+def _write_folder(df, root):
+    """Store a frame in a new folder: its entry, if it has files, and its row count."""
     folder = uuid.uuid4().hex
-    path = f"{root}/data/{folder}"
-    df.write.parquet(path)
-    written = df.sparkSession.read.schema(df.schema).parquet(path).inputFiles()
-    return [f"{folder}/{name.rsplit('/', 1)[-1]}" for name in written]
-
-
-def _read(spark, root, files, schema=None):
-    paths = [f"{root}/data/{name}" for name in sorted(files)]
-    if not paths:
-        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(*paths)
-
-
-def _commit(spark, root, latest, files, row_count, operation, parameters):
+    df.write.parquet(f"{root}/data/{folder}")
+    # Counted from what is stored: a count taken during the write could be
+    # wrong after a retried task.  It reads footers, no columns.
+    written = _scan(df.sparkSession, root, [folder], df.schema)
+    files = len(written.inputFiles())
+    return ([(folder, files, [])], written.count()) if files else ([], 0)
+
+
+def _schema(entry):
+    return StructType.fromJson(json.loads(entry["columns"]))
+
+
+def _scan(spark, root, folders, schema, leave=(), only=None, named=False):
+    """The rows of some folders, without the files in ``leave`` or of those in ``only``; with ``_file`` if named."""
+    if not folders or (only is not None and not only):
+        rows = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+        return rows.withColumn("_file", F.lit("")) if named else rows
+    rows = spark.read.schema(schema).parquet(*[f"{root}/data/{name}" for name in folders])
+    # A test on the name alone, which Spark applies to the list of files.
+    file = F.substring_index("_metadata.file_path", "/", -2)
+    if leave:
+        rows = rows.filter(~file.isin(sorted(leave)))
+    if only is not None:
+        rows = rows.filter(file.isin(sorted(only)))
+    return rows.withColumn("_file", file) if named else rows
+
+
+def _read(spark, root, entry, named=False):
+    replaced = {file for folder in entry["folders"] for file in folder["replaced"]}
+    return _scan(spark, root, [f["name"] for f in entry["folders"]], _schema(entry), replaced, named=named)
+
+
+def _unshared(spark, root, entry, other):
+    """The rows of the files that ``other`` does not have."""
+    there = {f["name"]: set(f["replaced"]) for f in other["folders"]}
+    own = [f for f in entry["folders"] if f["name"] not in there]
+    leave = {file for f in own for file in f["replaced"]}
+    rows = _scan(spark, root, [f["name"] for f in own], _schema(entry), leave)
+    shared = [f for f in entry["folders"] if f["name"] in there]
+    only = {file for f in shared for file in there[f["name"]] - set(f["replaced"])}
+    return rows.unionByName(_scan(spark, root, [f["name"] for f in shared], _schema(entry), only=only))
+
+
+def _commit(spark, root, latest, folders, row_count, schema, operation, parameters):
     version = 0 if latest is None else latest["version"] + 1
-    entry = pa.table(
-        {
-            "operation": [operation],
-            "parameters": [parameters],
-            "row_count": [row_count],
-            "files": pa.array([files], pa.list_(pa.string())),
-            "version": pa.array([version], pa.int32()),
-        }
-    )
+    entry = (None, operation, parameters, row_count, json.dumps(schema.jsonValue()), [tuple(f) for f in folders], version)
     (
-        spark.createDataFrame(entry)
+        spark.createDataFrame([entry], HISTORY_SCHEMA)
         .withColumn("committed_at", F.current_timestamp())
         .coalesce(1)
         .write.mode("append")
@@ -209,7 +254,7 @@ def _entry(spark, root, version=None):
         if not numbers:
             return None
         version = max(numbers)
-    # One folder of the history is read, the file lists of other versions are not.
+    # One folder of the history is read, the rows of other versions are not.
     found = rows.filter(F.col("version") == version).take(2)
     if len(found) > 1:
         raise RuntimeError(f"version {version} in {root} was written by two writers")
