@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.plans.fixtures import table
+from tarnlake.plans.fixtures import metastore, table
 from tarnlake.session import is_local
 
 SETTING = "spark.tarnlake.jdbc."
@@ -58,14 +58,42 @@ def remote_customers(spark: SparkSession, sf_dir: str) -> tuple[dict[str, str],
     return _load_new(spark, rows, "customers")
 
 
-def remote_orders(spark: SparkSession, sf_dir: str) -> tuple[dict[str, str], str]:
-    """All orders in a database table."""
-    rows = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
-    )
+def remote_orders(spark: SparkSession, sf_dir: str, nested: bool = False) -> tuple[dict[str, str], str]:
+    """All orders in a database table, with two columns also as JSON text if nested."""
+    rows = table(spark, sf_dir, "orders")
+    if nested:
+        pair = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))
+        rows = rows.withColumn("o_pair", F.to_json(pair))
     return _load_new(spark, rows, "orders")
 
 
+def remote_metastore(spark: SparkSession, sf_dir: str, options: Mapping[str, str], name: str) -> str:
+    """Metastore tables that list some columns of the table ``name`` among very many others; returns their database's address.
+
+    They have fixed names, so only an in-process database takes them.
+    """
+    if not options["url"].startswith("jdbc:derby:memory:"):
+        raise ValueError("metastore tables are not written to a named database")
+    databases, tables, storage, columns, params = metastore(spark, sf_dir)
+    own = spark.range(1)
+    own_columns = [("o_orderkey", "bigint"), ("o_totalprice", "double"), ("o_pair", "struct<status:string,customer:bigint>")]
+    listed = F.inline(F.array(*[F.struct(F.lit(c).alias("COLUMN_NAME"), F.lit(t).alias("TYPE_NAME")) for c, t in own_columns]))
+    frames = {
+        "DBS": databases.unionByName(own.select(F.lit(-1).alias("DB_ID"), F.lit("app").alias("NAME"))),
+        "TBLS": tables.unionByName(
+            own.select(F.lit(-1).alias("TBL_ID"), F.lit(-1).alias("DB_ID"), F.lit(-1).alias("SD_ID"), F.lit(name).alias("TBL_NAME"))
+        ),
+        "SDS": storage.unionByName(own.select(F.lit(-1).alias("SD_ID"), F.lit(-1).alias("CD_ID"))),
+        "COLUMNS_V2": columns.unionByName(own.select(F.lit(-1).alias("CD_ID"), listed)),
+        "TABLE_PARAMS": params.unionByName(
+            own.select(F.lit(-1).alias("TBL_ID"), F.lit("owner").alias("PARAM_KEY"), F.lit("x").alias("PARAM_VALUE"))
+        ),
+    }
+    for key, frame in frames.items():
+        load(frame, options, key, text_type="VARCHAR(200)")
+    return options["url"]
+
+
 def _load_new(spark, rows, prefix):
     options = connection(spark)
     upper = rows.toDF(*[c.upper() for c in rows.columns])

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tarnlake.operators.shape import normalize_names
-from tarnlake.plans.database import remote_customers, remote_orders
+from tarnlake.plans.database import remote_customers, remote_metastore, remote_orders
 from tarnlake.plans.fixtures import nested_events, new_database, table
 from tarnlake.plans.registry import query
 from tarnlake.session import work_folder
@@ -15,12 +15,13 @@ from tarnlake.sinks.files import save_delimited, save_json_lines, save_text
 from tarnlake.sinks.tables import save_table
 from tarnlake.sources.files import scan_delimited, scan_json_lines, scan_json_texts, scan_parquet, scan_text
 from tarnlake.sources.jdbc import scan_jdbc, scan_jdbc_partitioned, scan_jdbc_query
+from tarnlake.sources.options import scan_with_options
 from tarnlake.sources.staged import staged_jdbc_scan, unload_scan
 from tarnlake.sources.tables import scan_sql, scan_table
 
-EVENTS_SQL = "SELECT event_id, user_id, event_type, value, props FROM events"
+EVENTS_SQL = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
 CUSTOMER_SQL = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
-ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 
 
 @query(
@@ -37,19 +38,19 @@ def _parquet(spark, sf_dir):
 
 def _events_as_json(spark, sf_dir):
     path = work_folder(spark)
-    save_json_lines(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props"), path)
+    save_json_lines(table(spark, sf_dir, "events"), path)
     return path
 
 
 @query("scan_jsonl", EVENTS_SQL)
 def _jsonl(spark, sf_dir):
     rows = scan_json_lines(spark, _events_as_json(spark, sf_dir))
-    return rows.select("event_id", "user_id", "event_type", "value", "props")
+    return rows.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
 
 
 @query("scan_jsonl_declared", EVENTS_SQL)
 def _jsonl_declared(spark, sf_dir):
-    schema = "event_id bigint, user_id bigint, event_type string, value double, props string"
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     return scan_json_lines(spark, _events_as_json(spark, sf_dir), schema)
 
 
@@ -96,10 +97,15 @@ def _jdbc(spark, sf_dir):
     return normalize_names(scan_jdbc(spark, options, name, fetch_size=1000)).drop("c_profile")
 
 
+def _local_times(orders):
+    """Timestamps as stored, without a zone."""
+    return orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
 @query("scan_jdbc_partitioned", ORDERS_SQL)
 def _jdbc_partitioned(spark, sf_dir):
     options, name = remote_orders(spark, sf_dir)
-    return normalize_names(scan_jdbc_partitioned(spark, options, name, "O_ORDERKEY", 10, fetch_size=1000))
+    return _local_times(normalize_names(scan_jdbc_partitioned(spark, options, name, "O_ORDERKEY", 10, fetch_size=1000)))
 
 
 @query(
@@ -156,6 +162,51 @@ def _staged_split(spark, sf_dir):
     return rows.select("c_custkey", "c_name", "c_acctbal", "c_profile.segment", "c_profile.nation")
 
 
+@query("staged_jdbc_scan_dates", ORDERS_SQL + " WHERE o_totalprice > 1000")
+def _staged_dates(spark, sf_dir):
+    """Ranges of a timestamp column, hot ones split again, as many as the rows ask for."""
+    options, name = remote_orders(spark, sf_dir)
+    rows = staged_jdbc_scan(
+        spark,
+        options,
+        name,
+        work_folder(spark),
+        condition="where O_TOTALPRICE > 1000",
+        partition_column="O_ORDERDATE",
+        split_column="O_ORDERKEY",
+        rows_per_task=2000,
+        fetch_size=1000,
+    )
+    return _local_times(rows)
+
+
+@query(
+    "scan_with_options",
+    f"""SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_totalprice, o_orderstatus AS status, CAST(o_custkey AS BIGINT) AS customer
+        FROM ({ORDERS_SQL}) WHERE o_custkey % 2 = 0""",
+)
+def _with_options(spark, sf_dir):
+    """The format-name entry point, with declared types from a metastore in the same database."""
+    options, name = remote_orders(spark, sf_dir, nested=True)
+    meta = remote_metastore(spark, sf_dir, options, name)
+    rows = scan_with_options(
+        spark,
+        "jdbc-hive",
+        {
+            "dbTable": f"app.{name}",
+            "conditionClause": "where mod(O_CUSTKEY, 2) = 0",
+            "hiveJdbcUrl": options["url"],
+            "hiveMetastoreUrl": meta,
+            "fetchsize": "1000",
+            **{key: options[k] for key, k in (("hiveJdbcUser", "user"), ("hiveJdbcPassword", "password")) if k in options},
+        },
+        partition_column="O_ORDERKEY",
+        num_partitions=8,
+        driver=options["driver"],
+    )
+    return rows.select("o_orderkey", "o_totalprice", "o_pair.status", "o_pair.customer")
+
+
 @query(
     "unload_scan",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus
@@ -195,7 +246,7 @@ def _parameters(spark, sf_dir):
 
 @query(
     "select_nested",
-    """SELECT 'any-item-id' || user_id AS "itemId", epoch_us(ts) // 1000 AS ts FROM events""",
+    """SELECT 'sku-' || user_id AS "itemId", epoch_us(ts) // 1000 AS ts FROM events""",
 )
 def _select_nested(spark, sf_dir):
     return nested_events(spark, sf_dir).select("itemId", "baseProperties.ts")

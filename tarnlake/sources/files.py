@@ -18,7 +18,7 @@ from pyspark.sql.types import (
     VariantType,
 )
 
-from tarnlake.operators.shape import quoted
+from tarnlake.operators.shape import quoted, require_new_names
 
 
 def scan_parquet(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -52,6 +52,7 @@ def scan_json_texts(df: DataFrame, column: str, schema: StructType | str | None
     if not isinstance(schema, StructType):
         raise ValueError(f"{column} does not hold JSON objects")
     kept = [F.col(quoted(c)) for c in df.columns if c != column]
+    require_new_names([c for c in df.columns if c != column], schema.fieldNames())
     return df.select(*kept, F.from_json(F.col(quoted(column)), schema).alias("_json")).select(
         *kept, *[F.col("_json")[f].alias(f) for f in schema.fieldNames()]
     )
