@@ -17,13 +17,14 @@ from tarnlake.sources.files import scan_delimited
 from tarnlake.sources.jdbc import scan_jdbc_partitioned
 
 PARTS_SQL = "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part"
-LINES_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_linestatus
+LINES_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_linestatus, l_shipdate
                FROM lineitem"""
 
 
 def _lines(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus"
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus",
+        "l_shipdate",
     )
 
 
@@ -50,9 +51,7 @@ def _in_database(spark, sf_dir):
 
 @query("append_batches", ORDERS_SQL)
 def _append(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
-    )
+    orders = table(spark, sf_dir, "orders")
     finished = F.col("o_orderstatus").eqNullSafe("F")
     path = work_folder(spark)
     append_batches([orders.filter(finished), orders.filter(~finished)], path)
@@ -94,13 +93,29 @@ def _delimited(spark, sf_dir):
 def _ingest(spark, sf_dir):
     options, name = remote_orders(spark, sf_dir)
     remote = scan_jdbc_partitioned(spark, options, name, "O_ORDERKEY", 10, fetch_size=1000)
-    return ingest(normalize_names(remote), f"{new_database(spark)}.orders")
+    stored = ingest(normalize_names(remote), f"{new_database(spark)}.orders")
+    return stored.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
-@query("copy_dataset", LINES_SQL)
+@query("copy_dataset", "SELECT * FROM lineitem")
 def _copy(spark, sf_dir):
-    copied = copy_dataset(spark, f"{sf_dir}/lineitem.parquet", work_folder(spark))
-    return copied.select(*_lines(spark, sf_dir).columns)
+    return copy_dataset(spark, f"{sf_dir}/lineitem.parquet", work_folder(spark))
+
+
+BUCKETS_SQL = "SELECT o_orderkey, o_orderdate, lpad(CAST(o_orderkey % 20 AS VARCHAR), 4, '0') AS bucket FROM orders"
+
+
+def buckets(spark, sf_dir):
+    """Orders with a text column of leading zeros."""
+    bucket = F.lpad((F.col("o_orderkey") % 20).cast("string"), 4, "0")
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", bucket.alias("bucket"))
+
+
+@query("copy_dataset_folders", BUCKETS_SQL)
+def _copy_folders(spark, sf_dir):
+    path = work_folder(spark)
+    save_parquet(buckets(spark, sf_dir), path, partition_by=["bucket"])
+    return copy_dataset(spark, path, work_folder(spark), partition_by=["bucket"])
 
 
 @query("copy_dataset_format", CUSTOMER_SQL)

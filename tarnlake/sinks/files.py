@@ -41,8 +41,10 @@ def append_batches(batches: Iterable[DataFrame], path: str) -> int:
 
 
 def save_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON object per line; NULL fields are written out."""
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    """One JSON object per line; NULL fields are written out, times to the microsecond."""
+    plain = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    options = {"ignoreNullFields": False, "timestampFormat": plain + "XXX", "timestampNTZFormat": plain}
+    df.write.mode(mode).options(**options).json(path)
 
 
 def save_delimited(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +28,12 @@ def copy_dataset(
     Both are full URIs, so two file systems meet in one job without changing
     the default one; access settings per bucket belong to the session.  Tasks
     copy in parallel and nothing is shuffled.  Give ``schema`` for text formats
-    to save the pass that infers it.
+    to save the pass that infers it.  Without it columns that the source's
+    folders name are texts, so that values such as ``007`` are kept.
     """
     reader = spark.read.format(source_format).options(**(source_options or {}))
-    rows = (reader if schema is None else reader.schema(schema)).load(source)
+    with _folder_values_as_text(spark):
+        rows = (reader if schema is None else reader.schema(schema)).load(source)
     writer = rows.write.format(target_format).options(**(target_options or {})).mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -38,3 +41,15 @@ def copy_dataset(
     # The source's schema: types of partition columns would be guessed from folder names.
     copied = spark.read.format(target_format).options(**(target_options or {})).schema(rows.schema).load(target)
     return copied.select(*[F.col(quoted(c)) for c in rows.columns])
+
+
+@contextmanager
+def _folder_values_as_text(spark: SparkSession) -> Iterator[None]:
+    """Types of partition columns aren't guessed meanwhile."""
+    setting = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)

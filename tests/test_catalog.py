@@ -165,9 +165,9 @@ def test_flatten_refuses_clash(spark):
 
 
 def test_project_json_escapes(spark):
-    df = spark.createDataFrame([('so"u', 34, "x")], "firstName string, age int, address string")
-    out = project_json(df, {"firstName": None, "age": "personAge"}, init_upper=["firstName"])
-    assert out.first().json == '{"firstName":"So\\"u","personAge":34}'
+    df = spark.createDataFrame([('so"u', 34, "x")], "givenName string, age int, address string")
+    out = project_json(df, {"givenName": None, "age": "years"}, init_upper=["givenName"])
+    assert out.first().json == '{"givenName":"So\\"u","years":34}'
 
 
 def test_delimited_round_trip(spark, folder):
@@ -267,3 +267,21 @@ def test_json_texts_with_schema_and_bad_text(spark):
     assert content(scan_json_texts(df, "t", "a string")) == [(1, "1"), (2, None), (3, None)]
     with pytest.raises(ValueError):
         scan_json_texts(df.filter("i > 1"), "t")
+
+
+def test_clone_keeps_odd_names_and_leading_zeros(spark, folder):
+    database = new_database(spark)
+    rows = spark.createDataFrame([(1, "007", (5,)), (2, "010", (6,))], "k int, code string, s struct<`a b`: int>")
+    save_table(rows, f"{database}.t", path=f"{folder}/it's", partition_by=["code"])
+    for columns_from in ("table", "files"):
+        clone_table(spark, f"{database}.t", f"{database}.clone", columns_from=columns_from)
+        clone = spark.table(f"{database}.clone")
+        assert sorted((r.k, r.code, r.s[0]) for r in clone.collect()) == [(1, "007", 5), (2, "010", 6)]
+
+
+def test_copies_keep_leading_zeros(spark, folder):
+    rows = spark.createDataFrame([(1, "007"), (2, "010")], "k int, code string")
+    rows.write.partitionBy("code").parquet(f"{folder}/a")
+    copied = copy_dataset(spark, f"{folder}/a", f"{folder}/b", partition_by=["code"])
+    assert sorted(map(tuple, copied.collect())) == [(1, "007"), (2, "010")]
+    assert spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled") == "true"
