@@ -53,6 +53,7 @@ JDBC_TYPES = {
     "ROWID": "bigint",
     "SMALLINT": "int",
     "SQLXML": "string",
+    "STRUCT": "string",
     "TIME": "timestamp",
     "TIMESTAMP": "timestamp",
     "TINYINT": "int",

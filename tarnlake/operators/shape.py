@@ -14,13 +14,18 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def require_new_names(columns: Sequence[str], fields: Sequence[str]) -> None:
+    """Raise if a field that becomes a column is called like one that stays."""
+    clash = {n.lower() for n in fields} & {n.lower() for n in columns}
+    if clash:
+        raise ValueError(f"fields already exist as columns: {sorted(clash)}")
+
+
 def flatten_struct(df: DataFrame, column: str) -> DataFrame:
     """Replace a struct column by its fields, at the same place and with their types."""
     fields = _struct(df, column).fieldNames()
     others = [c for c in df.columns if c != column]
-    clash = {n.lower() for n in fields} & {n.lower() for n in others}
-    if clash:
-        raise ValueError(f"fields already exist as columns: {sorted(clash)}")
+    require_new_names(others, fields)
     out: list[Column] = []
     for name in df.columns:
         if name == column:

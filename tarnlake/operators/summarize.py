@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 SEQUENCE_STEP_X = 7548776662
 SEQUENCE_STEP_Y = 5698402909
 SEQUENCE_UNIT = 10_000_000_000
-SEQUENCE_PERIOD = 1_000_000_000
 
 
 def sum_reduce(df: DataFrame, column: str, into: str = "total") -> DataFrame:
@@ -47,9 +46,10 @@ def pi_estimate(df: DataFrame, index: Column | str) -> DataFrame:
     """Pi from the share of points inside the unit circle, one point per row.
 
     The points come from a low-discrepancy sequence instead of a random
-    generator, so a run can be repeated exactly, also after a lost task.
+    generator, so a run can be repeated exactly, also after a lost task.  Every
+    index counts as it is; coordinates have ten digits.
     """
-    i = F.pmod(F.col(index) if isinstance(index, str) else index, F.lit(SEQUENCE_PERIOD)).cast("bigint")
+    i = (F.col(index) if isinstance(index, str) else index).cast("bigint")
     x = _coordinate(i, SEQUENCE_STEP_X)
     y = _coordinate(i, SEQUENCE_STEP_Y)
     inside = F.when(x * x + y * y <= 1, 1).otherwise(0)
@@ -64,5 +64,10 @@ def partition_sizes(df: DataFrame) -> DataFrame:
 
 
 def _coordinate(i: Column, step: int) -> Column:
-    fraction = F.pmod(i * F.lit(step), F.lit(SEQUENCE_UNIT)).cast("double") / F.lit(float(SEQUENCE_UNIT))
-    return fraction * 2 - 1
+    # i * step modulo the unit, with the step in two halves so that no product leaves 64 bits.
+    half = 100_000
+    unit = F.lit(SEQUENCE_UNIT)
+    rest = F.pmod(i, unit)
+    upper = F.pmod(rest * F.lit(step // half), unit)
+    product = F.pmod(upper * F.lit(half) + rest * F.lit(step % half), unit)
+    return product.cast("double") / F.lit(float(SEQUENCE_UNIT)) * 2 - 1

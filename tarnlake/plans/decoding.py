@@ -50,11 +50,11 @@ def _array(spark, sf_dir):
 
 @query(
     "decode_array_sizes",
-    """SELECT p_partkey, CASE WHEN p_size > 25 THEN NULL ELSE 'two' END AS words,
-              split_part(p_name, ' ', 1) AS first_word FROM part""",
+    """SELECT p_partkey, CASE WHEN p_size > 25 THEN NULL ELSE len(string_split(p_name, ' ')) END AS some_words,
+              len(string_split(p_name, ' ')) AS all_words, array_to_string(string_split(p_name, ' '), '|') AS joined FROM part""",
 )
 def _array_sizes(spark, sf_dir):
-    """An array of texts and one that is empty for large parts, which decodes to NULL."""
+    """Sizes and elements of an array of texts, and of one that is empty for large parts, which decodes to NULL."""
     words = F.to_json(F.split("p_name", " "))
     rows = table(spark, sf_dir, "part").select(
         "p_partkey", words.alias("words"), F.when(F.col("p_size") > 25, "[ ]").otherwise(words).alias("some")
@@ -62,8 +62,9 @@ def _array_sizes(spark, sf_dir):
     out = decode_nested(rows, {"words": "array<string>", "some": "array<varchar(30)>"})
     return out.select(
         "p_partkey",
-        F.when(F.col("some").isNotNull(), F.lit("two")).alias("words"),
-        F.col("words")[0].alias("first_word"),
+        F.when(F.col("some").isNotNull(), F.size("some")).cast("bigint").alias("some_words"),
+        F.size("words").cast("bigint").alias("all_words"),
+        F.array_join("words", "|").alias("joined"),
     )
 
 
@@ -73,7 +74,8 @@ def _array_sizes(spark, sf_dir):
 SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS TINYINT) AS small, CAST(l_partkey AS BIGINT) AS big,
        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents, CAST(CAST(l_tax AS FLOAT) AS DOUBLE) AS rate,
        l_quantity > 25 AS large, hex(encode(l_returnflag)) AS flag_hex,
-       epoch_us(l_shipdate) // 1000 AS shipped, CASE WHEN l_quantity > 1 THEN l_linenumber ELSE -1 END AS mixed
+       epoch_us(l_shipdate) // 1000 AS shipped, CASE WHEN l_quantity > 1 THEN l_linenumber ELSE -1 END AS mixed,
+       l_partkey || ',NULL,' || l_suppkey AS listed
 FROM lineitem
 """,
 )
@@ -91,11 +93,13 @@ def _leaves(spark, sf_dir):
     )
     # One more leaf, not a number in some lines, where it becomes NULL.
     mixed = F.when(F.col("l_quantity") > 1, F.col("l_linenumber").cast("string")).otherwise('"none"')
-    text = F.concat(F.lit('{"mixed":'), mixed, F.lit(","), F.substring(text, 2, TO_THE_END))
+    # And an array whose second element is not a number.
+    listed = F.concat(F.lit('"listed":['), "l_partkey", F.lit(',"x",'), "l_suppkey", F.lit("],"))
+    text = F.concat(F.lit('{"mixed":'), mixed, F.lit(","), listed, F.substring(text, 2, TO_THE_END))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("payload"))
     declared = (
         "struct<small:tinyint,big:bigint,price:decimal(18,2),rate:float,large:boolean,"
-        "flag:binary,shipped:timestamp,mixed:int>"
+        "flag:binary,shipped:timestamp,mixed:int,listed:array<bigint>>"
     )
     rows = decode_nested(lines, {"payload": declared})
     return rows.select(
@@ -109,6 +113,7 @@ def _leaves(spark, sf_dir):
         F.hex("payload.flag").alias("flag_hex"),
         F.unix_millis("payload.shipped").alias("shipped"),
         F.coalesce("payload.mixed", F.lit(-1)).alias("mixed"),
+        F.array_join("payload.listed", ",", "NULL").alias("listed"),
     )
 
 
