@@ -165,3 +165,56 @@ FROM v0 a FULL JOIN v3 b ON a.c_custkey = b.c_custkey
 )
 def _diff(spark, sf_dir):
     return versions.version_diff(spark, _four_versions(spark, sf_dir), 0, 3, ["c_custkey"])
+
+
+HOT_ORDERS_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS o_custkey, o_orderstatus, o_orderdate
+                    FROM orders"""
+
+
+@query(
+    "versioned_merge_orders",
+    f"""
+WITH t AS ({HOT_ORDERS_SQL}),
+s AS (SELECT CAST(-2 AS BIGINT) AS o_orderkey, c_custkey AS o_custkey, c_mktsegment AS o_orderstatus, CAST(NULL AS TIMESTAMP) AS o_orderdate
+      FROM customer WHERE c_acctbal > 3000
+      UNION ALL SELECT -3, -1, 'HOT', NULL)
+SELECT CASE WHEN s.o_custkey IS NULL THEN t.o_orderkey ELSE s.o_orderkey END AS o_orderkey, t.o_custkey,
+       CASE WHEN s.o_custkey IS NULL THEN t.o_orderstatus ELSE s.o_orderstatus END AS o_orderstatus,
+       CASE WHEN s.o_custkey IS NULL THEN t.o_orderdate ELSE s.o_orderdate END AS o_orderdate
+FROM t LEFT JOIN s ON t.o_custkey = s.o_custkey
+UNION ALL SELECT * FROM s WHERE o_custkey NOT IN (SELECT o_custkey FROM t)
+""",
+)
+def _merge_orders(spark, sf_dir):
+    """Orders of which a third share one customer, merged with customers and that one."""
+    root = work_folder(spark)
+    hot = F.when(F.col("o_orderkey") % 3 == 0, F.lit(-1)).otherwise(F.col("o_custkey"))
+    orders = table(spark, sf_dir, "orders").withColumn("o_custkey", hot.cast("bigint"))
+    versions.write_version(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"), root)
+    none = F.lit(None).cast("timestamp_ntz").alias("o_orderdate")
+    customers = table(spark, sf_dir, "customer").filter("c_acctbal > 3000")
+    source = customers.select(
+        F.lit(-2).cast("bigint").alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"),
+        F.col("c_mktsegment").alias("o_orderstatus"), none,
+    ).unionByName(
+        spark.range(1).select(
+            F.lit(-3).cast("bigint").alias("o_orderkey"), F.lit(-1).cast("bigint").alias("o_custkey"),
+            F.lit("HOT").alias("o_orderstatus"), none,
+        )
+    )
+    versions.merge_version(spark, root, source, ["o_custkey"])
+    return versions.read_latest(spark, root)
+
+
+@query(
+    "version_diff_new_column",
+    """SELECT CAST(0 AS BIGINT) AS inserted, count(*) FILTER (c_mktsegment = 'BUILDING' AND c_acctbal > 0) AS updated,
+              count(*) FILTER (NOT c_acctbal > 0) AS deleted FROM customer""",
+)
+def _diff_new_column(spark, sf_dir):
+    root = work_folder(spark)
+    rows = table(spark, sf_dir, "customer")
+    versions.write_version(rows, root)
+    note = F.when(F.col("c_mktsegment") == "BUILDING", F.lower("c_mktsegment"))
+    versions.write_version(rows.filter("c_acctbal > 0").withColumn("note", note), root)
+    return versions.version_diff(spark, root, 0, 1, ["c_custkey"])

@@ -21,13 +21,13 @@ def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return events.select(
         "event_id",
-        F.concat(F.lit("any-item-id"), F.col("user_id")).alias("itemId"),
+        F.concat(F.lit("sku-"), F.col("user_id")).alias("itemId"),
         (F.col("event_id") % 5).alias("quantity"),
         F.round(F.col("value") * 100).cast("bigint").alias("price"),
         F.struct(
-            F.concat(F.lit("any-uid"), F.col("user_id")).alias("uid"),
+            F.concat(F.lit("visitor-"), F.col("user_id")).alias("uid"),
             F.col("event_type").alias("eventType"),
-            F.lit("7.0").alias("version"),
+            F.lit("3.1").alias("version"),
             epoch_millis(F.col("ts")).alias("ts"),
         ).alias("baseProperties"),
     )
@@ -35,9 +35,9 @@ def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The same rows, flat, in SQL.
 FLAT_EVENTS_SQL = """
-SELECT event_id, 'any-item-id' || user_id AS "itemId", event_id % 5 AS quantity,
-       CAST(round(value * 100) AS BIGINT) AS price, 'any-uid' || user_id AS uid,
-       event_type AS "eventType", '7.0' AS version, epoch_us(ts) // 1000 AS ts
+SELECT event_id, 'sku-' || user_id AS "itemId", event_id % 5 AS quantity,
+       CAST(round(value * 100) AS BIGINT) AS price, 'visitor-' || user_id AS uid,
+       event_type AS "eventType", '3.1' AS version, epoch_us(ts) // 1000 AS ts
 FROM events
 """
 

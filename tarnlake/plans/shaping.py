@@ -12,8 +12,8 @@ from tarnlake.plans.registry import query
 
 @query(
     "add_columns",
-    """SELECT event_id, 'any-item-id' || user_id || '-' || 'any-uid' || user_id AS id,
-              'any-uid' || user_id AS uid, event_type AS "eventType" FROM events""",
+    """SELECT event_id, 'sku-' || user_id || '-' || 'visitor-' || user_id AS id,
+              'visitor-' || user_id AS uid, event_type AS "eventType" FROM events""",
 )
 def _add(spark, sf_dir):
     rows = nested_events(spark, sf_dir).withColumns(
@@ -28,16 +28,16 @@ def _add(spark, sf_dir):
 
 @query(
     "rename_columns",
-    """SELECT event_id, 'any-item-id' || user_id AS "itemIdRenamed", event_id % 5 AS amount FROM events""",
+    """SELECT event_id, 'sku-' || user_id AS "itemKey", event_id % 5 AS amount FROM events""",
 )
 def _rename(spark, sf_dir):
-    rows = nested_events(spark, sf_dir).withColumnsRenamed({"itemId": "itemIdRenamed", "quantity": "amount"})
-    return rows.select("event_id", "itemIdRenamed", "amount")
+    rows = nested_events(spark, sf_dir).withColumnsRenamed({"itemId": "itemKey", "quantity": "amount"})
+    return rows.select("event_id", "itemKey", "amount")
 
 
 @query(
     "drop_columns",
-    """SELECT event_id, 'any-item-id' || user_id AS "itemId", event_id % 5 AS quantity FROM events""",
+    """SELECT event_id, 'sku-' || user_id AS "itemId", event_id % 5 AS quantity FROM events""",
 )
 def _drop(spark, sf_dir):
     return nested_events(spark, sf_dir).drop("baseProperties", "price")
@@ -55,18 +55,18 @@ def _map_count(spark, sf_dir):
 
 @query(
     "project_json",
-    """SELECT c_custkey, CAST(json_object('firstName', upper(substr(n, 1, 1)) || substr(n, 2),
-              'personAge', c_nationkey) AS VARCHAR) AS json
+    """SELECT c_custkey, CAST(json_object('givenName', upper(substr(n, 1, 1)) || substr(n, 2),
+              'years', c_nationkey) AS VARCHAR) AS json
        FROM (SELECT c_custkey, lower(c_name) AS n, c_nationkey FROM customer)""",
 )
 def _json(spark, sf_dir):
     people = table(spark, sf_dir, "customer").select(
         "c_custkey",
-        F.lower("c_name").alias("firstName"),
+        F.lower("c_name").alias("givenName"),
         F.col("c_nationkey").alias("age"),
         F.col("c_mktsegment").alias("address"),
     )
-    return project_json(people, {"firstName": None, "age": "personAge"}, init_upper=["firstName"]).select(
+    return project_json(people, {"givenName": None, "age": "years"}, init_upper=["givenName"]).select(
         "c_custkey", "json"
     )
 
@@ -87,10 +87,10 @@ def _normalize(spark, sf_dir):
 
 @query(
     "filter_eq",
-    """SELECT event_id, event_id % 5 AS quantity FROM events WHERE 'any-item-id' || user_id = 'any-item-id8'""",
+    """SELECT event_id, event_id % 5 AS quantity FROM events WHERE 'sku-' || user_id = 'sku-8'""",
 )
 def _filter(spark, sf_dir):
-    return nested_events(spark, sf_dir).filter("itemId = 'any-item-id8'").select("event_id", "quantity")
+    return nested_events(spark, sf_dir).filter("itemId = 'sku-8'").select("event_id", "quantity")
 
 
 @query(

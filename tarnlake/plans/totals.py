@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnlake.operators.shape import flatten_struct
@@ -71,7 +72,7 @@ def first_events_by_type(spark, sf_dir):
 @query(
     "pi_estimate",
     """
-WITH i AS (SELECT (l_orderkey * 8 + l_linenumber) % 1000000000 AS i FROM lineitem),
+WITH i AS (SELECT CAST(l_orderkey * 8 + l_linenumber AS HUGEINT) AS i FROM lineitem),
 p AS (SELECT ((i * 7548776662) % 10000000000) / 10000000000.0::DOUBLE * 2 - 1 AS x,
              ((i * 5698402909) % 10000000000) / 10000000000.0::DOUBLE * 2 - 1 AS y FROM i)
 SELECT count(*) AS points, CAST(sum(CASE WHEN x * x + y * y <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS inside,
@@ -82,9 +83,17 @@ def _pi(spark, sf_dir):
     return pi_estimate(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") * 8 + F.col("l_linenumber"))
 
 
-@query("partition_sizes")
+@query(
+    "partition_sizes",
+    """SELECT CAST(unnest(range(4)) AS INTEGER) AS "partition", TRUE AS near_mean, count(*) AS all_rows FROM lineitem""",
+)
 def _partition_sizes(spark, sf_dir):
-    return partition_sizes(table(spark, sf_dir, "lineitem").select("l_orderkey").repartition(4))
+    """Four partitions, each within a tenth of the mean."""
+    sizes = partition_sizes(table(spark, sf_dir, "lineitem").select("l_orderkey").repartition(4))
+    # One row per partition.
+    sizes = sizes.withColumn("all_rows", F.sum("rows").over(Window.partitionBy(F.lit(0))))
+    near = F.abs(F.col("rows") * 4 - F.col("all_rows")) * 10 <= F.col("all_rows")
+    return sizes.select("partition", near.alias("near_mean"), "all_rows")
 
 
 @query("repartition_rows", 'SELECT CAST(4 AS BIGINT) AS partitions, count(*) AS "rows" FROM lineitem')

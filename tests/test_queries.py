@@ -49,18 +49,11 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
         assert step not in plan
 
 
-def test_every_query_has_sql_but_those_without_one():
-    assert set(QUERIES) - set(ORACLES) == {"partition_sizes"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
-def test_partition_sizes(spark, sf_dir):
-    rows = queries()["partition_sizes"](spark, sf_dir).collect()
-    total = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
-    assert len(rows) == 4 and sum(r["rows"] for r in rows) == total
-    assert max(r["rows"] for r in rows) < 1.2 * total / 4
-
-
 def test_entry(spark):
     result = entry(spark)
     assert result.columns == ["eventType", "items", "earliest", "price"]

@@ -10,10 +10,22 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_sum_of_the_sample_lists(spark):
-    df = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, 7, 10, 11)], "n int")
-    assert sum_reduce(df, "n").first()[0] == 49
-    assert sum_reduce(df.filter("n < 6"), "n").first()[0] == 15
+def test_sum(spark):
+    df = spark.createDataFrame([(i,) for i in (8, -3, 21, 40, None)], "n int")
+    assert sum_reduce(df, "n").first()[0] == 66
+    assert sum_reduce(df.filter("n < 10"), "n").first()[0] == 5
+
+
+def test_pi_points_do_not_repeat_early(spark):
+    index = spark.range(1, 2001).select(F.explode(F.array("id", F.col("id") + 1_000_000_000, F.col("id") + 10**18)).alias("i"))
+    exact = [0, 0]
+    for i in range(1, 2001):
+        for k in (i, i + 1_000_000_000, i + 10**18):
+            x, y = ((k * step % 10**10) / 1e10 * 2 - 1 for step in (7548776662, 5698402909))
+            exact[0] += 1
+            exact[1] += x * x + y * y <= 1
+    found = pi_estimate(index, "i").first()
+    assert [found.points, found.inside] == exact
 
 
 def test_first_per_key_limits_before_the_shuffle(spark, folder):
