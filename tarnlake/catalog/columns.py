@@ -83,7 +83,7 @@ def column_facts(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """Facts per column, from one pass over the data.
+    """Facts per column, from one pass over the data, in the columns' order.
 
     Position, name and type; rows and NULLs (whether it is nullable in fact);
     longest text (its size in fact); smallest and largest value as text, for
@@ -112,4 +112,4 @@ def column_profile(df: DataFrame) -> DataFrame:
             )
         )
     one_row = df.agg(F.count(F.lit(1)).alias("_rows"), *measures)
-    return one_row.select(F.inline(F.array(*entries))).orderBy("position")
+    return one_row.select(F.inline(F.array(*entries)))

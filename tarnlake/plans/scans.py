@@ -78,6 +78,15 @@ def _delimited_declared(spark, sf_dir):
     return scan_delimited(spark, _customers_as_text(spark, sf_dir), source.schema)
 
 
+@query("scan_delimited_multi_line", 'SELECT doc_id, lang, "text" FROM documents')
+def _delimited_multi_line(spark, sf_dir):
+    """Texts with line breaks and quotes, written and read back."""
+    path = work_folder(spark)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    save_delimited(rows, path)
+    return scan_delimited(spark, path, rows.schema, multi_line=True)
+
+
 @query(
     "scan_text_partitioned",
     r"""SELECT lang, regexp_replace("text", '[\r\n]', ' ', 'g') AS "value" FROM documents""",

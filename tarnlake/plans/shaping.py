@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnlake.functions import text
-from tarnlake.operators.shape import flatten_struct, map_count, normalize_names, preview, project_json
+from tarnlake.operators.shape import flatten_struct, map_count, nest_columns, normalize_names, preview, project_json
 from tarnlake.plans.fixtures import FLAT_EVENTS_SQL, nested_events, table
 from tarnlake.plans.registry import query
 
@@ -43,6 +43,14 @@ def _drop(spark, sf_dir):
     return nested_events(spark, sf_dir).drop("baseProperties", "price")
 
 
+@query("nest_columns", "SELECT o_orderkey, o_orderstatus, o_totalprice + 1 AS price, o_custkey FROM orders")
+def _nest(spark, sf_dir):
+    """Columns packed into a struct, used there, and taken out again."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
+    nested = nest_columns(orders, ["o_totalprice", "o_custkey"], "facts")
+    return nested.select("o_orderkey", "o_orderstatus", (F.col("facts.o_totalprice") + 1).alias("price"), "facts.o_custkey")
+
+
 @query("flatten_struct", FLAT_EVENTS_SQL)
 def _flatten(spark, sf_dir):
     return flatten_struct(nested_events(spark, sf_dir), "baseProperties")

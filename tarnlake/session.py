@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,9 +37,9 @@ def is_local(spark: SparkSession) -> bool:
 def work_folder(spark: SparkSession) -> str:
     """A new, unused folder below the folder all executors share.
 
-    The shared folder is the one named by ``spark.checkpoint.dir``.  Only a
-    local session without that setting gets a folder of its own.  The caller
-    owns what is written there.
+    The shared folder is the one named by ``spark.checkpoint.dir``; the caller
+    owns what is written there.  Only a local session without that setting gets
+    a folder of its own, which goes when the process ends.
     """
     base = spark.conf.get(CHECKPOINT_SETTING, None)
     if not base:
@@ -45,5 +47,6 @@ def work_folder(spark: SparkSession) -> str:
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
         if not _own_folders:
             _own_folders.append(tempfile.mkdtemp(prefix="tarnlake-"))
+            atexit.register(shutil.rmtree, _own_folders[0], ignore_errors=True)
         base = _own_folders[0]
     return f"{base.rstrip('/')}/tarnlake/{uuid.uuid4().hex}"
