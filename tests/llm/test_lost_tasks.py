@@ -1,0 +1,56 @@
+"""Results with tasks that fail the first time and are run again."""
+
+import os
+import subprocess
+import sys
+
+JOB = """
+import public_tokenizers
+from pyspark import TaskContext
+from pyspark.sql import functions as F
+from tarnlake.llm import exact, near, packing, sharding, tokens
+from tarnlake.session import local_session, work_folder
+
+spark = local_session("retries", cores="4,4", shuffle_partitions=4)
+spark.sparkContext.setLogLevel("OFF")
+
+
+@F.udf("bigint")
+def flaky(value):
+    # Every task fails once, half way through.
+    if TaskContext.get().attemptNumber() == 0 and value % 200 == 100:
+        raise RuntimeError("first attempt")
+    return value
+
+
+words = F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") % 300 + i * 7).cast("string")) for i in range(12)])
+docs = spark.range(0, 800, 1, 4).select(flaky("id").alias("doc_id"), words.alias("text"))
+
+marked = exact.mark_duplicates(docs).collect()
+assert sorted(r.doc_id for r in marked) == list(range(800))
+assert all(r.keep_id == r.doc_id % 300 and r.kept == (r.doc_id < 300) for r in marked)
+found = near.near_components(docs).collect()
+assert all(r.component_id == r.doc_id % 300 for r in found) and len(found) == 800
+pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 64).collect()
+assert sorted(r.doc_id for r in pieces if r.start == 0) == list(range(800))
+assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+shards = sharding.assign_shards(docs, 7).collect()
+assert sorted(r.doc_id for r in shards) == list(range(800))
+cache = work_folder(spark)
+counts = tokens.count_tokens(docs, cache, public_tokenizers.path("word_bpe_49k.json")).collect()
+assert len(counts) == 800 and spark.read.parquet(cache).count() == 300
+print("all right")
+"""
+
+
+def test_results_survive_failed_tasks():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run(
+        [sys.executable, "-c", JOB],
+        cwd=root,
+        env={**os.environ, "PYTHONPATH": root},
+        capture_output=True,
+        text=True,
+        timeout=400,
+    )
+    assert "all right" in done.stdout, done.stderr[-3000:]
