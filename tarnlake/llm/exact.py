@@ -6,8 +6,9 @@ of fixed width, and splits the group by it, texts that end within the digit apar
 is done, as is a group whose texts have ended: these are equal, byte for byte, and no digest was compared.  Digits widen from
 round to round, so a long text takes few rounds, and most texts leave after the first.
 
-A round counts the groups' digits with partial sums before the shuffle and joins the counts back, one row a group, so that a
-group with very many copies is split over tasks by adaptive execution.  Each round is written to the shared work folder, which
+A round counts the groups' digits with partial sums before the shuffle and writes the counts of groups of several, one row a
+group.  Rows are joined with what is written rather than with the aggregate, since adaptive execution splits a group with
+very many copies over tasks only between two plain shuffles.  Each round is written to the shared work folder, too, which
 cuts the lineage and is all that a lost executor can cost.
 
 Of equal texts the row with the most code points stays, then the one with the smallest ``doc_id`` (null last), then the first
@@ -64,15 +65,17 @@ def radix_groups(docs: DataFrame, carry: Sequence[str] | None = None) -> DataFra
             {"digit": F.substring(stripped, offset + 1, width), "ended": F.octet_length(stripped) <= offset + width}
         )
         counts = split.groupBy("head", "digit", "ended").agg(F.count("*").alias("size"), F.min("seen").alias("next"))
-        final = F.col("ended") | (F.col("size") == 1)
-        joined = split.join(counts.hint("shuffle_hash"), ["head", "digit", "ended"]).select(
+        counts.where("size > 1").write.parquet(f"{folder}/counts={level}")
+        several = spark.read.schema(counts.schema).parquet(f"{folder}/counts={level}")
+        final = F.col("ended") | F.col("size").isNull()
+        joined = split.join(several.hint("shuffle_hash"), ["head", "digit", "ended"], "left").select(
             "row",
             "doc_id",
             "chars",
             "seen",
             *([] if with_text else [F.when(~final, F.col("body")).alias("body")]),
-            F.col("next").alias("head"),
-            "size",
+            F.coalesce("next", "seen").alias("head"),
+            F.coalesce("size", F.lit(1)).alias("size"),
             final.alias("final"),
         )
         path = f"{folder}/level={level}"
@@ -87,10 +90,13 @@ def radix_groups(docs: DataFrame, carry: Sequence[str] | None = None) -> DataFra
 
 
 def _best(groups: DataFrame) -> DataFrame:
-    """The row of each group of several that stays."""
+    """The row of each group of several that stays, written once."""
     order = F.struct(-F.col("chars"), F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("seen").alias("first"))
     best = groups.where("size > 1").groupBy("head").agg(F.min(order).alias("best"))
-    return best.select("head", F.col("best.id").alias("keep_id"), F.col("best.first").alias("first"))
+    best = best.select("head", F.col("best.id").alias("keep_id"), F.col("best.first").alias("first"))
+    spark, folder = groups.sparkSession, work_folder(groups.sparkSession)
+    best.write.parquet(folder)
+    return spark.read.schema(best.schema).parquet(folder)
 
 
 def mark_duplicates(docs: DataFrame, carry: Sequence[str] | None = None) -> DataFrame:
