@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.llm.encoding import CountEncoder, slices, worker_encoder
+from tarnlake.session import work_folder
 
 CACHE_SCHEMA = "content binary, tokenizer binary, n_tokens bigint"
 #: Part of the tokenizer's digest, to be changed with anything here that changes a count.
@@ -86,7 +87,12 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, normalise=as_is) -
     ``normalise`` may join texts that the tokenizer can't tell apart.
     """
     fill_cache(docs, cache, tokenizer, normalise)
-    known = read_cache(docs.sparkSession, cache, tokenizer_digest(tokenizer))
+    spark = docs.sparkSession
+    # Written once more, one row for each content: a join with plain rows can be split where one content has very many.
+    folder = work_folder(spark)
+    known = read_cache(spark, cache, tokenizer_digest(tokenizer))
+    known.write.parquet(folder)
+    known = spark.read.schema(known.schema).parquet(folder)
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.octet_length(as_is(F.col("text"))).cast("bigint").alias("n_bytes"),
