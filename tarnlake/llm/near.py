@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.components import connected
+from tarnlake.llm.components import connected, stored
 from tarnlake.llm.encoding import slices
 from tarnlake.llm.shingles import mix, shingle_set
 from tarnlake.session import work_folder
@@ -184,15 +184,15 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sketches = _nodes(spark, docs, size, percent, folder)
     named = sketches.where("digest is not null and doc_id is not null")
     # One node for each set, named by its smallest document; a document of several texts is one node of several sets.
-    members = named.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    members = stored(named.groupBy("digest").agg(F.min("doc_id").alias("node")), f"{folder}/members")
     banded = (
         named.join(members, (named["digest"] == members["digest"]) & (named["doc_id"] == members["node"]), "left_semi")
         .select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
         .distinct()
     )
-    banded.write.parquet(f"{folder}/bands")
-    banded = spark.read.schema(banded.schema).parquet(f"{folder}/bands")
+    banded = stored(banded, f"{folder}/bands")
     leaders = banded.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    leaders = stored(leaders, f"{folder}/leaders")
     neighbours = banded.join(leaders, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     groups = connected(neighbours)
     firsts = groups.select(F.col("component").alias("node"), "component").distinct()
@@ -215,6 +215,7 @@ def _compare(spark, docs, named, groups, size, percent, folder) -> DataFrame:
     """Links between the nodes of each candidate group, as a spanning forest of every unit of blocks."""
     weight = F.ceil(F.col("n_shingles") / SHINGLES_PER_DOCUMENT)
     weights = named.join(groups, named["doc_id"] == groups["node"]).groupBy("candidates").agg(F.sum(weight).alias("weight"))
+    weights = stored(weights, f"{folder}/weights")
     blocks = F.ceil(F.col("weight") / BLOCK_DOCUMENTS).cast("int")
     dealt = groups.join(weights.select("candidates", blocks.alias("blocks")), "candidates")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
