@@ -28,7 +28,7 @@ from tarnlake.session import work_folder
 
 #: What is deleted before texts are compared.
 BLANKS = " \t\n\x0b\x0c\r"
-FIRST_WIDTH = 32
+FIRST_WIDTH = 256
 WIDENING = 8
 ADDED = ("keep_id", "group_size", "kept")
 
