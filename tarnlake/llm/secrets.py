@@ -1,9 +1,9 @@
 """Secret scans: wide candidate patterns, and a random forest that removes false positives.
 
-A candidate is a value assigned to a telling name, or a long run of letters, digits and ``+ / _ -`` anywhere.  A forest trained on
-labelled findings judges it by its length and make-up, how usual its character transitions are, how much of it dictionary
-words cover, the path it was found under, and the words and signs around it.  Usual transitions and the dictionary are counted
-over all texts; both have a fixed size.
+A candidate is a value assigned to a telling name, which may be part of a longer one (``DB_PASSWORD``, ``accessToken``), or a long run
+of letters, digits and ``+ / _ -`` anywhere, a long name included.  A forest trained on labelled findings judges it by its length
+and make-up, how usual its character transitions are, how much of it dictionary words cover, the path it was found under, and the
+words and signs around it.  Usual transitions and the dictionary are counted over all texts; both have a fixed size.
 
 Defined cases: null and empty texts have no candidates; a null path is empty; a text of any length is scanned whole; rows that repeat an id, or have
 none, are scanned each; without findings of both labels the probability is the share of label 1 (0 without any); an empty table gives no
@@ -38,11 +38,13 @@ TREES, DEPTH, SEED = 50, 6, 11
 AROUND = 60
 
 _NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential"
+_LOOSE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+# A name is a whole run that holds a telling word, so that no loose run can take it first; nothing is scanned twice.
 _CANDIDATE = re.compile(
-    rf"(?i:\b(?:{_NAMES})\b[\"']?\s*[:=]\s*[\"']?)(?P<assigned>[^\s\"']{{6,}})"
-    r"|(?<![A-Za-z0-9+/_-])(?P<loose>[A-Za-z0-9+/_-]{16,}={0,2})"
+    rf"(?<![\w+/-])(?=[\w+/-]*?(?i:{_NAMES}))(?P<name>[\w+/-]++)[\"']?+\s*+[:=]\s*+[\"']?+(?P<assigned>[^\s\"']{{6,}})"
+    rf"|(?P<loose>{_LOOSE.pattern})"
 )
-_NAMED = re.compile(rf"(?i)\b(?:{_NAMES}|key|auth|login)\b")
+_NAMED = re.compile(rf"(?i){_NAMES}|\b(?:key|auth|login)\b")
 _EXEMPT_PATH = re.compile(r"(?i)(?:^|[/_.-])(?:tests?|examples?|samples?|docs?|mocks?|fixtures?)(?:$|[/_.-])")
 _LETTERS = re.compile("[a-z]+")
 
@@ -148,12 +150,17 @@ def features(value: str, before: str, after: str, path: str, assigned: bool, lan
 
 def candidates(text: str, path: str, language: Language) -> list[tuple[int, int, str, str, list[float]]]:
     """``(start, length, kind, sha256, features)`` of each candidate, counted in characters."""
-    found = []
+    spans = []
     for match in _CANDIDATE.finditer(text):
-        kind = match.lastgroup
-        start, end = match.span(kind)
-        numbers = features(match[kind], text[max(0, start - AROUND) : start], text[end : end + AROUND], path, kind == "assigned", language)
-        found.append((start, end - start, kind, hashlib.sha256(match[kind].encode()).hexdigest(), numbers))
+        if match["assigned"]:
+            # A long name may itself be a key, such as one padded by an equals sign.
+            spans += [(*run.span(), "loose") for run in _LOOSE.finditer(text, match.start("name"), match.start("assigned"))]
+        spans.append((*match.span(match.lastgroup), match.lastgroup))
+    found = []
+    for start, end, kind in spans:
+        value = text[start:end]
+        numbers = features(value, text[max(0, start - AROUND) : start], text[end : end + AROUND], path, kind == "assigned", language)
+        found.append((start, end - start, kind, hashlib.sha256(value.encode()).hexdigest(), numbers))
     return found
 
 
