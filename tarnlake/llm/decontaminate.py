@@ -8,7 +8,9 @@ whole of a shorter document.
 * Each of them gets a SimHash, the signs of the weighted sums of its shingles' bits.  Items are indexed by four blocks of
   16 bits: a fingerprint within radius r of an item's differs from it by r // 4 bits or fewer in one block at least, and a table
   lists for every value of a block the items that near.  So no item within the radius is missed.
-* An item within the radius is verified by the weighted Jaccard similarity of the two multisets of shingles.
+* Uneven weights can put a similar window beyond any radius.  So windows whose shared shingles weigh enough for the threshold,
+  which no similar window fails, are candidates too.
+* A candidate is verified by the weighted Jaccard similarity of the two multisets of shingles.
 
 Items come to the driver as a stream and are sent out in blocks of bounded number and size, each with a pass over the documents.
 
@@ -109,6 +111,7 @@ class ItemIndex:
         self.items = [item for item in (make_item(i, t) for i, t in rows) if item]
         self.sizes = sorted({item.size for item in self.items})
         self.lengths = np.array([item.n_words for item in self.items], dtype=np.int64)
+        self.item_weights = np.array([item.weights.sum() for item in self.items], dtype=np.int64)
         pairs = sorted({(s, k) for k, item in enumerate(self.items) for s in item.shingles.tolist()})
         self._shingles = np.array([s for s, _ in pairs], dtype=np.uint64)
         self._of = np.array([k for _, k in pairs], dtype=np.int64)
@@ -159,17 +162,23 @@ class ItemIndex:
             lengths = np.array(list(map(len, plain.split())))
             weights = shingle_weights(lengths, size)
             for n_words in np.unique(self.lengths[item]).tolist():
-                self._compare(shingles, weights, at[self.lengths[item] == n_words], n_words, size, best)
+                of_size = self.lengths[item] == n_words
+                self._compare(shingles, weights, at[of_size], n_words, size, best)
+                self._compare_heavy(shingles, weights, at[of_size], item[of_size], n_words, size, best)
         return [(self.items[k].item_id, *found) for k, found in sorted(best.items())]
 
+    @staticmethod
+    def _around(at: np.ndarray, wide: int, last: int) -> np.ndarray:
+        """Starts of the windows that hold one of the positions."""
+        covered = np.zeros(last + 2, dtype=np.int64)
+        np.add.at(covered, np.clip(at - wide + 1, 0, last), 1)
+        np.add.at(covered, np.clip(at, 0, last) + 1, -1)
+        return np.flatnonzero(np.cumsum(covered)[: last + 1] > 0)
+
     def _compare(self, shingles, weights, at, n_words, size, best) -> None:
         """Compares the windows of ``n_words`` words that hold a shingle at one of the positions."""
         wide = min(n_words - size + 1, len(shingles))
-        last = len(shingles) - wide
-        covered = np.zeros(len(shingles) + 1, dtype=np.int64)
-        np.add.at(covered, np.clip(at - wide + 1, 0, last), 1)
-        np.add.at(covered, np.clip(at, 0, last) + 1, -1)
-        starts = np.flatnonzero(np.cumsum(covered)[: last + 1] > 0)
+        starts = self._around(at, wide, len(shingles) - wide)
         for a in range(0, len(starts), MOST_WINDOWS):
             some = starts[a : a + MOST_WINDOWS]
             low, high = int(some[0]), int(some[-1]) + wide
@@ -197,6 +206,26 @@ class ItemIndex:
                 hamming = int(np.bitwise_count(prints[window] ^ self.prints[k]))
                 best[k] = (similar, hamming, start, min(n_words, wide + size - 1))
 
+    def _compare_heavy(self, shingles, weights, at, item, n_words, size, best) -> None:
+        """Compares the windows beyond the radius whose shared shingles weigh enough for the threshold."""
+        wide = min(n_words - size + 1, len(shingles))
+        least = SIMILARITY - 1e-9
+        shared = np.bincount(item, weights[at], minlength=len(self.items))
+        total = np.concatenate([[0], np.cumsum(weights)])
+        for k in np.flatnonzero((shared > 0) & (shared >= least * self.item_weights)).tolist():
+            own = at[item == k]
+            starts = self._around(own, wide, len(shingles) - wide)
+            upto = np.concatenate([[0], np.cumsum(weights[own])])
+            common = upto[np.searchsorted(own, starts + wide)] - upto[np.searchsorted(own, starts)]
+            union = total[starts + wide] - total[starts] + self.item_weights[k] - common
+            for start in starts[common >= least * union].tolist():
+                s, w = shingles[start : start + wide], weights[start : start + wide]
+                similar = self.items[k].similarity(s, w)
+                there = best.get(k, (0.0, 0, 0, 0))
+                if similar >= SIMILARITY and (similar > there[0] or (similar == there[0] and start < there[2])):
+                    mark = fingerprints((_signs(s) * w[:, None]).sum(axis=0)[None, :])[0]
+                    best[k] = (similar, int(np.bitwise_count(mark ^ self.prints[k])), start, min(n_words, wide + size - 1))
+
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """The items in lists of bounded number and size."""

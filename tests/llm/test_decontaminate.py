@@ -90,6 +90,22 @@ def test_matches_equal_all_windows(spark, items):
     assert sorted(str(r.doc_id) for r in left.collect()) == clean
 
 
+def test_recall_on_similarity_alone(monkeypatch):
+    """Passages whose edge is another long word: as similar as asked for, but mostly beyond the radius."""
+    draw = random.Random(10)
+    items, texts = [], []
+    for i in range(40):
+        body, edge = " ".join(words(draw, 110 + i % 7)), lambda: "".join(draw.choices("abcdefgh", k=300))
+        items.append((i, f"{edge()} {body}"))
+        texts.append(" ".join(words(draw, 20)) + f" {edge()} {body} " + " ".join(words(draw, 20)))
+    index = d.ItemIndex([(i, t.encode()) for i, t in items])
+    got = [{(m[0], m[1], m[3]) for m in index.matches(t.encode())} for t in texts]
+    near = [{(k, *v) for k, v in plain(items, t).items()} for t in texts]
+    monkeypatch.setattr(d, "RADIUS", 64)
+    want = [{(k, *v) for k, v in plain(items, t).items()} for t in texts]
+    assert got == want and all(want) and near != want
+
+
 def test_blocks_of_items(spark, items, monkeypatch):
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
     frame = spark.createDataFrame(documents(items), SCHEMA)
