@@ -24,4 +24,5 @@ from tarnlake.llm.registry import query, table
 def msd_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     digested = docs.withColumn("text_sha256", F.sha2(exact.strip(F.col("text")).cast("binary"), 256))
-    return exact.mark_duplicates(digested, ["doc_id", "text_sha256"])
+    marked = exact.mark_duplicates(digested, ["doc_id", "text_sha256"])
+    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

@@ -11,12 +11,13 @@ stand alone, so an address can only fit if it has that token.  Of a rule's token
 as counted over the whole table; rules without any are tried on every address.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, which only patterns can fit; an empty table gives no rows; repeated rows are
-judged alike.  All columns stay; those named like an added one (``host path rule pattern verdict``) are replaced.
+judged alike; a URL of any length is read whole; of fitting rules of equal length the first by its text wins.  All columns stay; those named like an added one (``host path rule pattern verdict``) are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -133,10 +134,11 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFra
     index, rest = index_rules(rules, counts)
 
     @F.pandas_udf("rule string, pattern string, verdict string")
-    def judged(addresses: pd.Series) -> pd.DataFrame:
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(rules, index, rest)
-        found = [matcher.judge(address) for address in addresses]
-        return pd.DataFrame(found, columns=["rule", "pattern", "verdict"])
+        for addresses in batches:
+            found = [matcher.judge(address) for address in addresses]
+            yield pd.DataFrame(found, columns=["rule", "pattern", "verdict"])
 
     verdicts = rows.withColumn("verdict", judged(F.concat("host", "path")))
     return verdicts.withColumns({c: F.col(f"verdict.{c}") for c in ("rule", "pattern", "verdict")})

@@ -44,11 +44,12 @@ def _sql_choice(rules: list[Rule], value: str) -> str:
             regexp_extract(coalesce(r, ''), '^([^/?#]*)([^?#]*)', 2) AS path
         FROM rest
     ), addresses AS (SELECT *, host || path AS address FROM parts)
-    SELECT page_id, host, path, {_sql_choice(DOMAIN_RULES, "text")} AS rule, {_sql_choice(PATTERN_RULES, "text")} AS pattern,
-        coalesce({_sql_choice(DOMAIN_RULES, "verdict")}, {_sql_choice(PATTERN_RULES, "verdict")}, 'allow') AS verdict
+    SELECT page_id, host, path, {_sql_choice(DOMAIN_RULES, "text")} AS rule,
+        coalesce({_sql_choice(DOMAIN_RULES, "verdict")}, {_sql_choice(PATTERN_RULES, "verdict")}, 'allow') AS verdict,
+        {_sql_choice(PATTERN_RULES, "text")} AS pattern
     FROM addresses
     """,
 )
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), DOMAIN_RULES + PATTERN_RULES)
-    return judged.select("page_id", "host", "path", "rule", "pattern", "verdict")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "pattern")
