@@ -86,6 +86,7 @@ def test_columns(spark):
 
 def test_rules_of_equal_length(spark):
     rules = [Rule("^pills^", BLOCK, domain=False), Rule("^adult^", BLOCK, domain=False), Rule("a.org/x", BLOCK), Rule("a.org/y", ALLOW)]
-    urls = ["http://a.org/x/adult/pills", "http://b.org/pills?" + "x" * 100_000, "http://b.org/" + "x/" * 100_000 + "adult/pills"]
-    got = judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules).select("rule", "pattern", "verdict").collect()
+    addresses = ["http://a.org/x/adult/pills", "http://b.org/pills?" + "x" * 100_000, "http://b.org/" + "x/" * 100_000 + "adult/pills"]
+    frame = spark.createDataFrame([(a,) for a in addresses], "url string")
+    got = urls.judge_urls(frame, rules).select("rule", "pattern", "verdict").collect()
     assert [tuple(r) for r in got] == [("a.org/x", "^adult^", BLOCK), (None, "^pills^", BLOCK), (None, "^adult^", BLOCK)]
