@@ -117,6 +117,50 @@ def _leaves(spark, sf_dir):
     )
 
 
+@query(
+    "decode_wrong_elements",
+    """
+SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS quantity,
+       CASE WHEN l_linenumber > 3 THEN 'quantity' ELSE 'quantity,line' END AS known,
+       CAST(CASE WHEN l_linenumber > 3 THEN NULL ELSE l_linenumber END AS BIGINT) AS line,
+       CAST(CASE WHEN l_linenumber > 3 THEN 3 ELSE 2 END AS BIGINT) AS n_parts, l_partkey AS first_part, l_suppkey AS last_part,
+       l_returnflag AS flag, CASE WHEN l_linenumber % 2 = 0 THEN '1,NULL' ELSE '1,2' END AS grid, l_partkey AS deep
+FROM lineitem
+""",
+)
+def _wrong_elements(spark, sf_dir):
+    """Maps, arrays of structs, of arrays and of maps, with elements of another kind in some lines."""
+    late, even = F.col("l_linenumber") > 3, F.col("l_linenumber") % 2 == 0
+    text = F.concat(
+        F.lit('{"amounts":{"quantity":'), F.col("l_quantity").cast("bigint"), F.lit(',"line":'),
+        F.when(late, '"late"').otherwise(F.col("l_linenumber").cast("string")),
+        F.lit('},"parts":[{"part":'), "l_partkey", F.lit(',"flags":["'), "l_returnflag", F.lit('"]},'),
+        F.when(late, "5,").otherwise(""), F.lit('{"part":'), "l_suppkey", F.lit('}],"grid":[[1,'),
+        F.when(even, '"x"').otherwise("2"), F.lit("]"), F.when(even, ",7").otherwise(""),
+        F.lit('],"deep":[{"k":[{"p":'), "l_partkey", F.lit("}"), F.when(late, ',"z"').otherwise(""), F.lit("]}]}"),
+    )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("payload"))
+    declared = (
+        "struct<amounts:map<string,bigint>,parts:array<struct<part:bigint,flags:array<string>>>,"
+        "grid:array<array<bigint>>,deep:array<map<string,array<struct<p:bigint>>>>>"
+    )
+    rows = decode_nested(lines, {"payload": declared}).select("l_orderkey", "l_linenumber", "payload.*")
+    known = F.map_filter("amounts", lambda _, v: v.isNotNull())
+    return rows.select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("amounts")["quantity"].alias("quantity"),
+        F.array_join(F.map_keys(known), ",").alias("known"),
+        F.col("amounts")["line"].alias("line"),
+        F.size("parts").cast("bigint").alias("n_parts"),
+        F.col("parts")[0]["part"].alias("first_part"),
+        F.element_at("parts", -1)["part"].alias("last_part"),
+        F.col("parts")[0]["flags"][0].alias("flag"),
+        F.array_join(F.col("grid")[0], ",", "NULL").alias("grid"),
+        F.col("deep")[0]["k"][0]["p"].alias("deep"),
+    )
+
+
 @query(
     "encode_nested",
     """SELECT event_id, CAST(json_object('k', CAST(json_extract(props, '$.k') AS BIGINT)) AS VARCHAR) AS props FROM events""",
