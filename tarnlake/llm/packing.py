@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.encoding import IdEncoder, slices, worker_encoder
+from tarnlake.llm.encoding import TextEncoder, slices, worker_encoder
 
 END_ID = 1
 ID_BYTES = 4
@@ -74,7 +74,7 @@ def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -
     return pieces
 
 
-def _blocks(batches, encoder: IdEncoder, end: bytes):
+def _blocks(batches, encoder: TextEncoder, end: bytes):
     """Lists of (doc_id, ids) of bounded size, a longer document with what came before it."""
     block, tokens = [], 0
     for batch in batches:
@@ -106,7 +106,7 @@ def pack(
     """
 
     def packed(batches):
-        encoder, end = worker_encoder(IdEncoder, tokenizer), np.array([END_ID], dtype="<u4").tobytes()
+        encoder, end = worker_encoder(TextEncoder, tokenizer), np.array([END_ID], dtype="<u4").tobytes()
         base = TaskContext.get().partitionId() * SEQUENCES_PER_PARTITION
         for block in _blocks(batches, encoder, end):
             lengths = [len(ids) // ID_BYTES for _, ids in block]

@@ -6,11 +6,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tarnlake.llm import tokens
-from tarnlake.llm.encoding import CountEncoder, IdEncoder, words
+from tarnlake.llm import encoding, tokens
+from tarnlake.llm.encoding import CountEncoder, IdEncoder, TextEncoder, words
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
-SIGNS = list("ab|' \n\t\x1c\x85\xa0é́Σİ1½<>!§　​") + ["<|endoftext|>", "<|startoftext|>", "  ", "'ll", "word "]
+SIGNS = list("ab|' \n\t\r\x0b\x1f\u180e\u200b\u2028\ud7ff½²٣𝟙中\U0001f600\x1c\x85\xa0é́Σİ1½<>!§　​") + ["<|endoftext|>", "<|startoftext|>", "  ", "'ll", "word "]
 SCHEMA = "doc_id bigint, text string, n_tokens string, content int"
 
 
@@ -31,6 +31,27 @@ def test_words_give_the_ids_of_the_text(encoders, texts):
         assert "".join(words(text)) == text
 
 
+@settings(max_examples=600, deadline=None)
+@given(texts=st.lists(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(SIGNS), max_size=40).map("".join)), max_size=8))
+def test_whole_texts_give_the_ids_of_the_library(encoders, whole, texts):
+    for (library, _, _), encoder in zip(encoders, whole, strict=True):
+        assert [list(memoryview(x).cast("I")) for x in encoder.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.fixture(scope="module")
+def whole():
+    encoders = [TextEncoder(public_tokenizers.path(f)) for f in FILES]
+    assert [e._ranked is not None for e in encoders] == [True, False]
+    return encoders
+
+
+def test_long_words_and_blanks(encoders, whole):
+    long = ["a" * 5000, "x" + " " * 5000 + "y", "ab " * 5000, "é" * 999 + " ok", "<|endoftext|>" * 300, "word\n" * 2000]
+    assert [encoding._has_long_word(t) for t in long] == [True, True, False, False, True, False]
+    library = encoders[0][0]
+    assert [list(memoryview(x).cast("I")) for x in whole[0].ids(long)] == [library.encode(t, add_special_tokens=False).ids for t in long]
+
+
 def rows():
     rows = [(i, f"text number {i % 7}\n or so" + "  " * (i % 3), "k", 1) for i in range(60)]
     return rows + [(100, None, None, None), (101, "", "", 0), (None, "x y", "", 0), (None, "x y", "", 0), (5, "other", "", 0), (102, "é " * 90_000, "", 0)]
