@@ -12,6 +12,9 @@ all is followed by the first, which is itself if it is alone.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,6 +26,8 @@ ROWS_PER_BUCKET = 100_000
 LEAST_ROWS = 1000
 #: Most buckets: the driver and every task know their bounds, and one row of numbers for each is broadcast.
 MOST_BUCKETS = 100_000
+#: Rows that are turned to Python strings at once.
+ROWS_AT_ONCE = 256
 #: What a null id counts as.
 NO_ID = -(1 << 63)
 
@@ -62,25 +67,37 @@ def _bucketed(rows: DataFrame, bounds: list[int]) -> DataFrame:
     return rows.withColumn("bucket", bucket("key", "tie"))
 
 
-def _paired(batches):
-    """Rows sorted by bucket and place, each bucket's last one a copy of what follows, to rows with the next one's text."""
+def _pairs(batches):
+    """(doc_id, text, next text) of rows sorted by bucket and place, of which each bucket's last one is a copy of what follows."""
     bucket, name, text = None, None, None
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("bucket", "doc_id", "text"))
-        names, texts, nexts = [], [], []
-        for at, doc_id, own in zip(*columns, strict=True):
-            if at == bucket:
-                names.append(name)
-                texts.append(text)
-                nexts.append(own)
-            bucket, name, text = at, doc_id, own
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.int64()), pa.array(texts, pa.string()), pa.array(nexts, pa.string())], ["doc_id", "text", "next_text"]
-        )
+        for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+            some = batch.slice(first, ROWS_AT_ONCE)
+            columns = (some.column(c).to_pylist() for c in ("bucket", "doc_id", "text"))
+            for at, doc_id, own in zip(*columns, strict=True):
+                if at == bucket:
+                    yield name, text, own
+                bucket, name, text = at, doc_id, own
+
+
+def _texts(pairs):
+    while some := list(itertools.islice(pairs, ROWS_AT_ONCE)):
+        columns = zip(*some, strict=True)
+        kinds = (pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "text", "next_text"])
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` (empty for null) and ``next_text`` of every row."""
+    return map_pairs(docs, _texts, "doc_id bigint, text string, next_text string")
+
+
+def map_pairs(docs: DataFrame, make: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """What ``make`` yields as Arrow batches from ``(doc_id, text, next text)`` of all rows of a task."""
+
+    def made(batches):
+        return make(_pairs(batches))
+
     rows = _keyed(docs)
     bounds = _bounds(rows)
     rows = _bucketed(rows, bounds)
@@ -96,4 +113,4 @@ def with_next(docs: DataFrame) -> DataFrame:
     both = rows.withColumn("after", F.lit(0)).unionByName(copies.withColumns({"key": nothing, "tie": nothing}))
     order = ["bucket", "after", "key", "tie", "text"]
     dealt = both.repartition(len(bounds) + 1, "bucket").sortWithinPartitions(*order)
-    return dealt.select("bucket", "doc_id", "text").mapInArrow(_paired, "doc_id bigint, text string, next_text string")
+    return dealt.select("bucket", "doc_id", "text").mapInArrow(made, schema)
