@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of one bucket, and of one as small as it may be where there are fewer.
-ROWS_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 4000
 LEAST_ROWS = 1000
+#: Buckets of one task, on average: several, as they are dealt by a hash.
+BUCKETS_PER_TASK = 8
 #: Most buckets: the driver and every task know their bounds, and one row of numbers for each is broadcast.
 MOST_BUCKETS = 100_000
 #: Rows that are turned to Python strings at once.
@@ -43,7 +45,7 @@ def _bounds(rows: DataFrame) -> list[int]:
     """Keys at equal numbers of rows apart; a key that fills several buckets is there several times."""
     count = rows.count()
     parallel = rows.sparkSession.sparkContext.defaultParallelism
-    buckets = min(MOST_BUCKETS, max(1, min(count // LEAST_ROWS, max(4 * parallel, count // ROWS_PER_BUCKET))))
+    buckets = min(MOST_BUCKETS, max(1, min(count // LEAST_ROWS, max(4 * BUCKETS_PER_TASK * parallel, count // ROWS_PER_BUCKET))))
     shares = [i / buckets for i in range(1, buckets)]
     if not shares:
         return []
@@ -112,5 +114,5 @@ def map_pairs(docs: DataFrame, make: Callable[[Iterator], Iterator], schema: str
     nothing = F.lit(0).cast("bigint")
     both = rows.withColumn("after", F.lit(0)).unionByName(copies.withColumns({"key": nothing, "tie": nothing}))
     order = ["bucket", "after", "key", "tie", "text"]
-    dealt = both.repartition(len(bounds) + 1, "bucket").sortWithinPartitions(*order)
+    dealt = both.repartition(max(1, (len(bounds) + 1) // BUCKETS_PER_TASK), "bucket").sortWithinPartitions(*order)
     return dealt.select("bucket", "doc_id", "text").mapInArrow(made, schema)
