@@ -49,9 +49,16 @@ def load(rows: DataFrame, options: Mapping[str, str], name: str, text_type: str
     return name
 
 
-def remote_customers(spark: SparkSession, sf_dir: str) -> tuple[dict[str, str], str]:
-    """All customers in a database table, with their segment and balance also as JSON text."""
-    rows = table(spark, sf_dir, "customer").withColumn(
+def remote_customers(spark: SparkSession, sf_dir: str, keyed: bool = False) -> tuple[dict[str, str], str]:
+    """All customers in a database table, with their segment and nation also as JSON text.
+
+    If ``keyed``, instead with a text to range over, empty where there is none.
+    """
+    customers = table(spark, sf_dir, "customer")
+    if keyed:
+        key = F.when(F.col("c_acctbal") >= 0, F.concat_ws("/", "c_mktsegment", "c_name")).otherwise("")
+        return _load_new(spark, customers.withColumn("c_key", key), "customers", text_type="VARCHAR(200)")
+    rows = customers.withColumn(
         "c_profile",
         F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))),
     )
@@ -94,7 +101,7 @@ def remote_metastore(spark: SparkSession, sf_dir: str, options: Mapping[str, str
     return options["url"]
 
 
-def _load_new(spark, rows, prefix):
+def _load_new(spark, rows, prefix, text_type=None):
     options = connection(spark)
     upper = rows.toDF(*[c.upper() for c in rows.columns])
-    return options, load(upper, options, f"{prefix}_{uuid.uuid4().hex[:12]}".upper())
+    return options, load(upper, options, f"{prefix}_{uuid.uuid4().hex[:12]}".upper(), text_type)

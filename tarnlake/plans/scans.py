@@ -117,6 +117,18 @@ def _jdbc_partitioned(spark, sf_dir):
     return _local_times(normalize_names(scan_jdbc_partitioned(spark, options, name, "O_ORDERKEY", 10, fetch_size=1000)))
 
 
+@query(
+    "scan_jdbc_text_key",
+    """SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment, CASE WHEN c_acctbal >= 0 THEN c_mktsegment || '/' || c_name END AS c_key
+       FROM customer""",
+)
+def _jdbc_text_key(spark, sf_dir):
+    """Ranges of texts, of which some are NULL and all others begin with one of a few words."""
+    options, name = remote_customers(spark, sf_dir, keyed=True)
+    source = f"(select C_CUSTKEY, C_NATIONKEY, C_ACCTBAL, C_MKTSEGMENT, nullif(C_KEY, '') as C_KEY from {name}) q"
+    return normalize_names(scan_jdbc_partitioned(spark, options, source, "C_KEY", 10, fetch_size=1000))
+
+
 @query(
     "scan_jdbc_query",
     "SELECT c_nationkey, count(*) AS customers, max(c_custkey) AS newest FROM customer GROUP BY c_nationkey",
@@ -192,7 +204,7 @@ def _staged_dates(spark, sf_dir):
 @query(
     "scan_with_options",
     f"""SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_totalprice, o_orderstatus AS status, CAST(o_custkey AS BIGINT) AS customer
-        FROM ({ORDERS_SQL}) WHERE o_custkey % 2 = 0""",
+        FROM ({ORDERS_SQL}) WHERE o_totalprice > 1000""",
 )
 def _with_options(spark, sf_dir):
     """The format-name entry point, with declared types from a metastore in the same database."""
@@ -203,7 +215,7 @@ def _with_options(spark, sf_dir):
         "jdbc-hive",
         {
             "dbTable": f"app.{name}",
-            "conditionClause": "where mod(O_CUSTKEY, 2) = 0",
+            "conditionClause": "where O_TOTALPRICE > 1000",
             "hiveJdbcUrl": options["url"],
             "hiveMetastoreUrl": meta,
             "fetchsize": "1000",
