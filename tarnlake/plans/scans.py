@@ -18,6 +18,7 @@ from tarnlake.sources.jdbc import scan_jdbc, scan_jdbc_partitioned, scan_jdbc_qu
 from tarnlake.sources.options import scan_with_options
 from tarnlake.sources.staged import staged_jdbc_scan, unload_scan
 from tarnlake.sources.tables import scan_sql, scan_table
+from tarnlake.sources.unload import DERBY_EXPORT, remote_unload_scan
 
 EVENTS_SQL = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
 CUSTOMER_SQL = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
@@ -241,6 +242,15 @@ def _unload(spark, sf_dir):
     return unload_scan(spark, view, work_folder(spark), "WHERE l_quantity >= 25")
 
 
+@query("unload_jdbc_scan", ORDERS_SQL + " WHERE o_orderstatus <> 'P'")
+def _unload_jdbc(spark, sf_dir):
+    """The database exports the rows itself; Spark reads the files."""
+    options, name = remote_orders(spark, sf_dir)
+    condition = "where O_ORDERSTATUS <> 'P'"
+    rows = remote_unload_scan(spark, options, name, work_folder(spark), DERBY_EXPORT, condition, attempts=2)
+    return _local_times(rows)
+
+
 @query(
     "scan_catalog",
     "SELECT * FROM supplier",
