@@ -242,11 +242,11 @@ def _unload(spark, sf_dir):
     return unload_scan(spark, view, work_folder(spark), "WHERE l_quantity >= 25")
 
 
-@query("unload_jdbc_scan", ORDERS_SQL + " WHERE o_orderstatus <> 'P'")
+@query("unload_jdbc_scan", ORDERS_SQL + " WHERE o_totalprice > 1000")
 def _unload_jdbc(spark, sf_dir):
     """The database exports the rows itself; Spark reads the files."""
     options, name = remote_orders(spark, sf_dir)
-    condition = "where O_ORDERSTATUS <> 'P'"
+    condition = "where O_TOTALPRICE > 1000"
     rows = remote_unload_scan(spark, options, name, work_folder(spark), DERBY_EXPORT, condition, attempts=2)
     return _local_times(rows)
 
