@@ -20,6 +20,7 @@ from pyspark.sql.types import (
     StringType,
     StructField,
     StructType,
+    TimestampNTZType,
     TimestampType,
     VarcharType,
 )
@@ -138,6 +139,64 @@ def parse_type(type_string: str) -> DataType:
     return _plain(dtype)
 
 
+# How many digits whole numbers take, and how many of a float or double are exact.
+WHOLE_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+EXACT_DIGITS = {"float": 7, "double": 15}
+
+
+def common_type(a: DataType, b: DataType) -> DataType | None:
+    """The narrowest type that holds every value of both unchanged, nested or not; None if there is none.
+
+    Whole numbers widen to wider ones, to a decimal and, while all their digits are exact there, to float and double; decimals to
+    decimals with room for both sides of the point; a date to a timestamp without a zone.  Texts, times and numbers have nothing in common.
+    """
+    if a.simpleString() == b.simpleString():
+        return a
+    if isinstance(a, ArrayType) and isinstance(b, ArrayType):
+        element = common_type(a.elementType, b.elementType)
+        return element and ArrayType(element)
+    if isinstance(a, MapType) and isinstance(b, MapType):
+        key, value = common_type(a.keyType, b.keyType), common_type(a.valueType, b.valueType)
+        return MapType(key, value) if key and value else None
+    if isinstance(a, StructType) and isinstance(b, StructType):
+        if a.fieldNames() != b.fieldNames():
+            return None
+        fields = [(f.name, common_type(f.dataType, g.dataType)) for f, g in zip(a.fields, b.fields, strict=True)]
+        return StructType([StructField(n, t) for n, t in fields]) if all(t for _, t in fields) else None
+    names = {a.simpleString(), b.simpleString()}
+    if names == {"date", "timestamp_ntz"}:
+        return TimestampNTZType()
+    if names <= {"char", "varchar", "string"} or all(isinstance(t, (StringType, CharType, VarcharType)) for t in (a, b)):
+        return StringType()
+    return _common_number(a, b)
+
+
+def _common_number(a: DataType, b: DataType) -> DataType | None:
+    whole, inexact = {}, {}
+    for t in (a, b):
+        name = t.simpleString()
+        if name in EXACT_DIGITS:
+            inexact[name] = t
+        elif name in WHOLE_DIGITS:
+            whole[name] = (WHOLE_DIGITS[name], 0)
+        elif isinstance(t, DecimalType):
+            whole[name] = (t.precision - t.scale, t.scale)
+        else:
+            return None
+    if len(inexact) == 2:
+        return DoubleType()
+    if inexact:
+        ((digits, scale),) = whole.values()
+        # Not every fraction has a binary form, so decimals with a scale don't fit.
+        fits = [name for name in EXACT_DIGITS if digits <= EXACT_DIGITS[name] and not scale]
+        fits = [name for name in fits if name in inexact or name == "double"]
+        return parse_type(fits[0]) if fits else None
+    digits, scale = (max(part) for part in zip(*whole.values()))
+    if not any(isinstance(t, DecimalType) for t in (a, b)):
+        return a if WHOLE_DIGITS[a.simpleString()] == digits else b
+    return DecimalType(digits + scale, scale) if digits + scale <= 38 else None
+
+
 def _plain(dtype: DataType) -> DataType:
     if isinstance(dtype, (CharType, VarcharType)):
         return StringType()

@@ -8,8 +8,10 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarnlake.operators.shape import quoted
+from tarnlake.session import work_folder
 
 
 def update_where(df: DataFrame, condition: str | Column, assignments: Mapping[str, str | Column]) -> DataFrame:
@@ -48,26 +50,48 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> D
 
     Every target row with a matching key takes all source values, also when
     several target rows share the key.  NULL keys never match.  Two source
-    rows for one key raise an error while the job runs.
-
-    Plan: the target is the outer side of a left join.  It is not shuffled at
-    all while the source is small enough to broadcast, and otherwise Spark can
-    split a hot target key at run time, which it cannot do in a full outer
-    join.  Whether a source row found a partner is decided on keys alone, in a
-    branch that also counts the copies of every source key, so a repeated key
-    stops the job before the wide join runs.
+    rows for one key raise an error.
+
+    The source is read once: it is stored in the work folder, checked for
+    repeated keys, and its rows without a match are stored too, found by one
+    pass over the target's keys alone.  The result then reads the target once.  It is
+    the outer side of a left join: not shuffled at all while the source is small
+    enough to broadcast, and otherwise Spark can split a hot target key at run
+    time, which it cannot do in a full outer join.
     """
-    if set(target.columns) != set(source.columns):
+    keys, folder = list(keys), work_folder(target.sparkSession)
+    source = stored_source(target.schema, source, keys, f"{folder}/source")
+    # Distinct first, so a hot key is one row per task before its shuffle; Spark
+    # moves the semi join below that when the source can be broadcast.
+    present = target.select(*map(quoted, keys)).distinct()
+    matched = present.alias("t").join(source.alias("s"), same_keys(keys), "left_semi")
+    return merged_rows(target, source, unmatched_rows(source, matched, keys, f"{folder}/fresh"), keys)
+
+
+def stored_source(schema: StructType, source: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
+    """A merge's source, cast to the target's schema, as stored under ``path``; a key with several rows raises."""
+    if set(schema.fieldNames()) != set(source.columns):
         raise ValueError("target and source need the same columns")
-    keys = list(keys)
-    source = source.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in target.schema.fields])
+    rows = source.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    rows = _stored(rows, path)
     has_key = reduce(and_, [F.col(quoted(k)).isNotNull() for k in keys])
-    keyed = source.filter(has_key)
+    repeated = rows.filter(has_key).groupBy(*map(quoted, keys)).count().filter("count > 1").first()
+    if repeated is not None:
+        raise ValueError(f"merge source has several rows for one key: {tuple(repeated)[:-1]}")
+    return rows
 
+
+def unmatched_rows(source: DataFrame, matched: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
+    """The source rows whose key is not among ``matched``, and those with a NULL in it, as stored under ``path``."""
+    return _stored(source.alias("t").join(matched.alias("s"), same_keys(keys), "left_anti"), path)
+
+
+def merged_rows(target: DataFrame, source: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The target's rows, with a source's values where the keys are equal, and the ``fresh`` rows."""
     found = F.col(f"s.{quoted(keys[0])}").isNotNull()
     updated = (
         target.alias("t")
-        .join(keyed.alias("s"), _same(keys), "left")
+        .join(source.alias("s"), same_keys(keys), "left")
         .select(
             *[
                 F.col(f"t.{quoted(c)}")
@@ -77,17 +101,12 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> D
             ]
         )
     )
-    copies = keyed.groupBy(*[F.col(quoted(k)) for k in keys]).agg(F.count(F.lit(1)).alias("_copies"))
-    # Distinct first, so a hot key is one row per task before its shuffle; Spark
-    # moves the semi join below that when the source can be broadcast.
-    present = target.select(*map(quoted, keys)).distinct()
-    matched = present.alias("t").join(copies.filter(_once(F.lit(True))).alias("s"), _same(keys), "left_semi")
-    fresh = keyed.alias("t").join(matched.alias("s"), _same(keys), "left_anti")
-    # No rows, only the check: the one above is not run for an empty target.
-    guard = copies.filter(_once(F.col("_copies") < 0)).select(
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in target.schema.fields]
-    )
-    return guard.unionByName(updated).unionByName(fresh).unionByName(source.filter(~has_key))
+    return updated.unionByName(fresh)
+
+
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def diff_counts(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -121,16 +140,8 @@ def diff_counts(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
     return totals.select(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in totals.columns])
 
 
-def _once(value):
-    """``value`` for a key with one copy, an error for one with several.
-
-    To be used in a filter: in a column, the error could be pruned away.
-    """
-    several = F.raise_error(F.lit("merge source has several rows for one key")).cast("boolean")
-    return F.when(F.col("_copies") == 1, value).otherwise(several)
-
-
-def _same(keys):
+def same_keys(keys: Sequence[str]) -> Column:
+    """True where the frames ``t`` and ``s`` have the same, known keys."""
     return reduce(and_, [F.col(f"t.{quoted(k)}") == F.col(f"s.{quoted(k)}") for k in keys])
 
 

@@ -218,3 +218,22 @@ def _diff_new_column(spark, sf_dir):
     note = F.when(F.col("c_mktsegment") == "BUILDING", F.lower("c_mktsegment"))
     versions.write_version(rows.filter("c_acctbal > 0").withColumn("note", note), root)
     return versions.version_diff(spark, root, 0, 1, ["c_custkey"])
+
+
+@query(
+    "version_diff_wider_type",
+    """SELECT count(*) FILTER (o_orderstatus = 'P') AS inserted, count(*) FILTER (o_orderstatus = 'F') AS updated,
+              CAST(0 AS BIGINT) AS deleted FROM orders""",
+)
+def _diff_wider_type(spark, sf_dir):
+    """Orders stored with an integer key and price, and again with wider ones, some prices changed by a fraction."""
+    root = work_folder(spark)
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("int").alias("o_orderkey"), F.col("o_totalprice").cast("int").alias("price"), "o_orderstatus"
+    )
+    versions.write_version(orders.filter("o_orderstatus <> 'P'"), root)
+    price = F.when(F.col("o_orderstatus") == "F", F.col("price") + F.lit("0.5").cast("decimal(2,1)")).otherwise(F.col("price"))
+    versions.write_version(
+        orders.withColumns({"o_orderkey": F.col("o_orderkey").cast("bigint"), "price": price.cast("decimal(18,2)")}), root
+    )
+    return versions.version_diff(spark, root, 0, 1, ["o_orderkey"])

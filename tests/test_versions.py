@@ -2,8 +2,10 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarnlake import versions
+from tarnlake.operators.conform import common_type
 
 
 def rows(df):
@@ -223,4 +225,67 @@ def test_diff_over_changed_columns(spark, root):
 def test_fully_replaced_folders_leave_the_version(spark, root):
     versions.update_version(spark, root, "true", {"v": "v + 1"})
     entry = versions.history(spark, root).filter("version = 1").first()
-    assert len(entry.folders) == 1 and entry.folders[0].replaced == [] and entry.row_count == 10
+    assert len(entry.folders) == 1 and entry.folders[0].replaced == 0 and entry.lists == [] and entry.row_count == 10
+
+
+def test_diff_over_wider_types(spark, folder):
+    narrow = "k int, v smallint, d decimal(5,2), w array<struct<x:int>>, day date"
+    wide = "k bigint, v double, d decimal(9,4), w array<struct<x:decimal(20,0)>>, day timestamp_ntz"
+    old = spark.sql("SELECT int(id) k, smallint(id) v, decimal(id) / 4 d, array(struct(int(id) AS x)) w, date'2020-02-03' day FROM range(6)")
+    versions.write_version(old.selectExpr(*[f"cast({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in narrow.split(", ")]), folder)
+    new = versions.read_latest(spark, folder).filter("k < 5")
+    new = new.selectExpr(*[f"cast({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in wide.split(", ")])
+    changed = {"v": F.when(F.col("k") == 1, 1.5).otherwise(F.col("v")), "d": F.when(F.col("k") == 2, F.col("d") + 0.0001).otherwise(F.col("d"))}
+    versions.write_version(new.withColumns({c: v.cast(new.schema[c].dataType) for c, v in changed.items()}), folder)
+    assert tuple(versions.version_diff(spark, folder, 0, 1, ["k"]).first()) == (0, 2, 1)
+    assert tuple(versions.version_diff(spark, folder, 1, 0, ["k"]).first()) == (1, 2, 0)
+    versions.write_version(new.withColumn("k", F.col("k").cast("string")), folder)
+    with pytest.raises(TypeError, match="column k is bigint in version 1 .* and string in version 2"):
+        versions.version_diff(spark, folder, 1, 2, ["k"])
+
+
+@pytest.mark.parametrize(
+    "a, b, want",
+    [
+        ("tinyint", "bigint", "bigint"), ("int", "float", "double"), ("smallint", "float", "float"), ("bigint", "double", None),
+        ("int", "decimal(4,2)", "decimal(12,2)"), ("decimal(38,0)", "decimal(3,2)", None), ("decimal(3,1)", "double", None),
+        ("decimal(9,0)", "double", "double"), ("float", "double", "double"), ("date", "timestamp_ntz", "timestamp_ntz"),
+        ("date", "timestamp", None), ("int", "string", None), ("boolean", "int", None), ("varchar(3)", "string", "string"),
+        ("map<string,int>", "map<string,bigint>", "map<string,bigint>"), ("struct<a:int>", "struct<b:int>", None),
+        ("array<int>", "array<string>", None), ("binary", "string", None),
+    ],
+)
+def test_common_types(a, b, want):
+    a, b = (StructType.fromDDL(f"c {t}")["c"].dataType for t in (a, b))
+    for found in (common_type(a, b), common_type(b, a)):
+        assert (found and found.simpleString()) == want
+
+
+@pytest.mark.parametrize("named", [1000, 20])
+def test_plans_do_not_grow_with_replaced_files(spark, folder, monkeypatch, named):
+    monkeypatch.setattr(versions, "NAMED_FILES", named)
+    base = spark.range(0, 600, 1, 60).selectExpr("id AS k", "id AS v")
+    versions.write_version(base, folder)
+    versions.update_version(spark, folder, "k % 10 = 0 AND k < 500", {"v": "-1"})
+    source = spark.createDataFrame([(k, -2) for k in (*range(1, 300, 10), 1000)], "k bigint, v bigint")
+    versions.merge_version(spark, folder, source, ["k"])
+    versions.delete_version(spark, folder, "k >= 590")
+    versions.write_version(spark.range(5).selectExpr("id AS k", "id AS v"), folder)
+    entries = versions.history(spark, folder).orderBy("version").collect()
+    assert [[f.replaced for f in e.folders if f.files == 60] for e in entries] == [[0], [50], [50], [51], []]
+    want = {k: k for k in range(600)}
+    states = [dict(want)]
+    want.update({k: -1 for k in range(0, 500, 10)})
+    states.append(dict(want))
+    want.update({k: -2 for k in (*range(1, 300, 10), 1000)})
+    states.append(dict(want))
+    states.append({k: v for k, v in want.items() if not 590 <= k < 1000 and k != 1000})
+    for version, state in enumerate(states):
+        found = versions.read_version(spark, folder, version)
+        assert dict(map(tuple, found.collect())) == state and entries[version].row_count == len(state)
+        plan = found._jdf.queryExecution().toString()
+        assert named > 20 or plan.count("part-") == 0
+    for a, b in ((0, 1), (1, 0), (1, 3), (3, 1), (0, 4), (2, 2)):
+        x, y = (states + [{k: k for k in range(5)}])[a], (states + [{k: k for k in range(5)}])[b]
+        counts = len(y.keys() - x.keys()), sum(x[k] != y[k] for k in x.keys() & y.keys()), len(x.keys() - y.keys())
+        assert tuple(versions.version_diff(spark, folder, a, b, ["k"]).first()) == counts
