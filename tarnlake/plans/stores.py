@@ -10,7 +10,7 @@ from tarnlake.plans.fixtures import FLAT_EVENTS_SQL, nested_events, new_database
 from tarnlake.plans.registry import query
 from tarnlake.plans.scans import CUSTOMER_SQL, ORDERS_SQL
 from tarnlake.session import work_folder
-from tarnlake.sinks.files import append_batches, save_delimited, save_parquet
+from tarnlake.sinks.files import append_batches, append_once, read_appended, save_delimited, save_parquet
 from tarnlake.sinks.tables import ingest, save_table
 from tarnlake.sinks.transfer import copy_dataset
 from tarnlake.sources.files import scan_delimited
@@ -58,6 +58,16 @@ def _append(spark, sf_dir):
     return spark.read.schema(orders.schema).parquet(path)
 
 
+@query("append_once", ORDERS_SQL)
+def _append_once(spark, sf_dir):
+    """Orders by priority, in runs that overlap and are repeated."""
+    orders, path = table(spark, sf_dir, "orders"), work_folder(spark)
+    urgent = F.col("o_orderpriority").startswith("1")
+    for batches in (orders.filter(urgent), orders.filter(urgent), orders, orders.filter(~urgent), orders):
+        append_once(batches, path, "o_orderpriority")
+    return read_appended(spark, path, orders.schema)
+
+
 @query("save_path", LINES_SQL)
 def _path(spark, sf_dir):
     path = work_folder(spark)
@@ -118,6 +128,11 @@ def _copy_folders(spark, sf_dir):
     return copy_dataset(spark, path, work_folder(spark), partition_by=["bucket"])
 
 
+@query("copy_dataset_verified", ORDERS_SQL)
+def _copy_verified(spark, sf_dir):
+    return copy_dataset(spark, f"{sf_dir}/orders.parquet", work_folder(spark), target_format="orc", verify=True)
+
+
 @query("copy_dataset_format", CUSTOMER_SQL)
 def _copy_format(spark, sf_dir):
     return copy_dataset(spark, f"{sf_dir}/customer.parquet", work_folder(spark), target_format="json")

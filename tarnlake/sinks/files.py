@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from tarnlake.operators.shape import quoted
 
 
 def save_parquet(
@@ -32,7 +38,7 @@ def save_parquet(
 
 
 def append_batches(batches: Iterable[DataFrame], path: str) -> int:
-    """Append frames one after the other to a Parquet folder; returns how many."""
+    """Append frames one after the other to a Parquet folder; returns how many.  Done again, they are there twice; see `append_once`."""
     count = 0
     for batch in batches:
         batch.write.mode("append").parquet(path)
@@ -40,6 +46,45 @@ def append_batches(batches: Iterable[DataFrame], path: str) -> int:
     return count
 
 
+def append_once(df: DataFrame, path: str, batch: str) -> int:
+    """Append the rows whose batch was not appended before; returns how many batches are new.
+
+    ``batch`` is the column that names a row's batch; NULL is a batch too.  A batch comes whole, in one frame.  Rows go to a folder of
+    their own, and then the batches they make up into a ledger below ``path``.  A run that fails before that leaves nothing that
+    `read_appended` would read, and may be repeated; a run that was finished may be repeated as well.
+    """
+    spark, attempt = df.sparkSession, uuid.uuid4().hex
+    known = _ledger(spark, path, df.schema[batch].dataType)
+    offered = F.col(f"n.{quoted(batch)}")
+    new = df.alias("n").join(known.alias("k"), offered.eqNullSafe(F.col("k.batch")), "left_anti")
+    rows = f"{path}/rows/{attempt}"
+    new.write.parquet(rows)
+    stored = spark.read.schema(df.schema).parquet(rows)
+    batches = stored.groupBy(F.col(quoted(batch)).alias("batch")).agg(F.count(F.lit(1)).alias("rows"))
+    batches = batches.withColumn("attempt", F.lit(attempt))
+    batches.write.mode("append").parquet(f"{path}/ledger")
+    return _ledger(spark, path, df.schema[batch].dataType).filter(F.col("attempt") == attempt).count()
+
+
+def read_appended(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The rows of all batches that `append_once` has finished."""
+    found = spark.read.schema("attempt string").parquet(f"{path}/ledger").distinct().collect()  # as many as appends
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/rows/{row[0]}" for row in found])
+
+
+def _ledger(spark, path, batch_type) -> DataFrame:
+    """``batch``, ``rows`` and ``attempt`` of all finished batches."""
+    schema = StructType([StructField("batch", batch_type), StructField("rows", LongType()), StructField("attempt", StringType())])
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/ledger")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def save_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object per line; NULL fields are written out, times to the microsecond."""
     plain = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"

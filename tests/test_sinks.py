@@ -1,0 +1,70 @@
+"""Appends that may be repeated, and copies that are checked."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tarnlake.sinks import files
+from tarnlake.sinks.files import append_once, read_appended
+from tarnlake.sinks.transfer import checksum, copy_dataset
+
+SCHEMA = "day string, n int"
+
+
+def days(spark, *names):
+    return spark.createDataFrame([(name, i) for name in names for i in range(5)], SCHEMA)
+
+
+def test_repeated_batches_are_appended_once(spark, folder):
+    assert append_once(days(spark, "a", "b"), folder, "day") == 2
+    assert append_once(days(spark, "a", "b"), folder, "day") == 0
+    assert append_once(days(spark, "b", "c", None), folder, "day") == 2
+    assert append_once(days(spark, None), folder, "day") == 0
+    found = read_appended(spark, folder, SCHEMA).groupBy("day").count().collect()
+    assert sorted(map(str, found)) == sorted(map(str, days(spark, "a", "b", "c", None).groupBy("day").count().collect()))
+    assert append_once(days(spark), folder, "day") == 0 and read_appended(spark, folder, SCHEMA).count() == 20
+
+
+def test_nothing_appended(spark, folder):
+    assert append_once(days(spark), folder, "day") == 0
+    assert read_appended(spark, folder, SCHEMA).collect() == []
+
+
+def test_an_append_that_fails_leaves_nothing(spark, folder, monkeypatch):
+    append_once(days(spark, "a"), folder, "day")
+    bad = days(spark, "b").withColumn("n", F.when(F.col("n") < 4, F.col("n")).otherwise(F.raise_error(F.lit("stop")).cast("int")))
+    with pytest.raises(Exception, match="stop"):
+        append_once(bad, folder, "day")
+    # Rows written, ledger not: what a lost driver leaves.
+    monkeypatch.setattr(files.F, "count", lambda *a: F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        append_once(days(spark, "b"), folder, "day")
+    monkeypatch.undo()
+    assert read_appended(spark, folder, SCHEMA).count() == 5
+    assert append_once(days(spark, "a", "b"), folder, "day") == 1
+    assert read_appended(spark, folder, SCHEMA).count() == 10
+
+
+def test_checksums(spark):
+    rows = spark.range(200).selectExpr("id", "if(id % 7 = 0, null, concat('t', id)) AS t", "array(id, null) AS a", "map('k', id) AS m", "id / 3 AS d")
+    whole = checksum(rows).first()
+    assert whole == checksum(rows.repartition(7).orderBy(F.desc("id"))).first() and whole["rows"] == 200
+    one = F.col("id") == 30
+    changes = {"t": F.lit("x"), "a": F.expr("array(null, id)"), "m": F.expr("map('k', null)"), "d": F.lit(None).cast("double"), "id": F.lit(-1)}
+    sums = {checksum(rows.withColumn(c, F.when(one, v).otherwise(F.col(c)))).first()["checksum"] for c, v in changes.items()}
+    sums |= {checksum(rows.filter("id <> 3").unionByName(rows.filter("id = 4"))).first()["checksum"]}
+    sums |= {checksum(rows.unionByName(rows.filter("id = 4")).unionByName(rows.filter("id = 4"))).first()["checksum"]}
+    assert len(sums | {whole["checksum"]}) == 8
+    nulls = [checksum(spark.createDataFrame([pair], "a string, b string")).first()[1] for pair in ((None, "x"), ("x", None), ("x", "x"))]
+    assert len(set(nulls)) == 3 and tuple(checksum(rows.limit(0)).first()) == (0, 0)
+
+
+def test_a_copy_that_differs_raises(spark, folder):
+    rows = spark.range(100).selectExpr("id", "concat('p', id) AS v", "array(id) AS a")
+    rows.write.parquet(f"{folder}/source")
+    copied = copy_dataset(spark, f"{folder}/source", f"{folder}/target", verify=True)
+    assert checksum(copied).first() == checksum(rows).first()
+    # A text format that drops the blanks around a text.
+    spark.sql("SELECT ' x ' AS v").write.parquet(f"{folder}/blanks")
+    options = {"ignoreLeadingWhiteSpace": "true"}
+    with pytest.raises(ValueError, match="differs"):
+        copy_dataset(spark, f"{folder}/blanks", f"{folder}/text", target_format="csv", target_options=options, verify=True)
