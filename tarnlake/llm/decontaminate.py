@@ -5,36 +5,40 @@ all of an item that has fewer.  A shingle weighs as many bytes as its words have
 whole of a shorter document.
 
 * A window that shares no shingle with any item is similar to none, so only windows around shared shingles are looked at.
-* Each of them gets a SimHash, the signs of the weighted sums of its shingles' bits.  Items are indexed by four blocks of
-  16 bits: a fingerprint within radius r of an item's differs from it by r // 4 bits or fewer in one block at least, and a table
-  lists for every value of a block the items that near.  So no item within the radius is missed.
-* Uneven weights can put a similar window beyond any radius.  So windows whose shared shingles weigh enough for the threshold,
-  which no similar window fails, are candidates too.
+* Each of them gets a SimHash, the signs of sums over its shingles' bits, in which a shingle that is there n times counts as the square root
+  of n times its weight.  The cosine of two such sums is the weight that the multisets share by the mean of theirs, so uneven weights and
+  repeated shingles move a fingerprint no farther than even ones: at the threshold the cosine is 8/9 or more and about 10 of 64 bits differ.
+* Items are indexed by four blocks of 16 bits: a fingerprint within radius r of an item's differs from it by r // 4 bits or fewer in one
+  block at least, and a table lists for every value of a block the items that near.  So no item within the radius is missed, and
+  what lies beyond it is no candidate: of windows at the threshold about one in a thousand, of more similar ones fewer.
 * A candidate is verified by the weighted Jaccard similarity of the two multisets of shingles.
 
-Items come to the driver as a stream and are sent out in blocks of bounded number and size, each with a pass over the documents.
+Items come to the driver as a stream, which holds one block of bounded number and size at a time.  A block is sent out with a pass
+over the documents, whose results are stored before the next one's, so no plan grows with the items.
 
-Defined cases: null and empty texts, and items without words, match nothing; rows that repeat an id, or have none, are judged by themselves; of
+Defined cases: texts of any length are read whole; null and empty texts, and items without words, match nothing; rows that repeat an id, or have none, are judged by themselves; of
 windows with equal similarity the first counts; an empty table on either side gives no matches; further columns are not
 carried by `find_matches` and are kept by `drop_contaminated`, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.shingles import sequence_hashes, word_hashes
+from tarnlake.session import work_folder
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Bits in which the fingerprints of a window and an item may differ.  At the threshold they differ in about 10 of 64.
+#: Bits in which the fingerprints of a window and an item may differ.
 RADIUS = 19
 BLOCKS, BLOCK_BITS = 4, 16
 #: Items and bytes of text sent to the executors at once.
@@ -65,10 +69,41 @@ def _signs(shingles: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
-    """64-bit numbers of the signs of weighted sums, one row each."""
+    """64-bit numbers of the signs of sums, one row each."""
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
+def bag_sums(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The sum over the bits of a multiset's shingles, each as the square root of all its weight."""
+    distinct, first, count = np.unique(shingles, return_index=True, return_counts=True)
+    return (_signs(distinct) * _root(count * weights[first])[:, None]).sum(axis=0)
+
+
+def _root(weights: np.ndarray) -> np.ndarray:
+    """Square roots in 1024ths, whole numbers: sums of them don't depend on their order."""
+    return np.rint(np.sqrt(weights) * 1024).astype(np.int64)
+
+
+def window_prints(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, wide: int) -> np.ndarray:
+    """The fingerprints of the windows of ``wide`` shingles from ``starts`` on, which ascend."""
+    low, high = int(starts[0]), int(starts[-1]) + wide
+    sums = np.zeros((high - low + 1, 64), dtype=np.int64)
+    np.cumsum(_signs(shingles[low:high]) * _root(weights[low:high])[:, None], axis=0, out=sums[1:])
+    prints = fingerprints(sums[starts - low + wide] - sums[starts - low])
+    # Windows that hold a shingle twice, as its next place is within reach, are summed one by one.
+    order = np.argsort(shingles[low:high], kind="stable")
+    again = shingles[low:high][order][1:] == shingles[low:high][order][:-1]
+    first, gap = order[:-1][again], np.diff(order)[again]
+    reach = np.zeros(high - low + 2, dtype=np.int64)
+    near = gap < wide
+    np.add.at(reach, np.maximum(first[near] + gap[near] - wide + 1, 0), 1)
+    np.add.at(reach, first[near] + 1, -1)
+    for i in np.flatnonzero(np.cumsum(reach)[starts - low] > 0).tolist():
+        start = int(starts[i])
+        prints[i] = fingerprints(bag_sums(shingles[start : start + wide], weights[start : start + wide])[None, :])[0]
+    return prints
+
+
 @dataclass
 class Item:
     """A benchmark item: its id, number of words, and shingles with their counts and weights."""
@@ -111,13 +146,12 @@ class ItemIndex:
         self.items = [item for item in (make_item(i, t) for i, t in rows) if item]
         self.sizes = sorted({item.size for item in self.items})
         self.lengths = np.array([item.n_words for item in self.items], dtype=np.int64)
-        self.item_weights = np.array([item.weights.sum() for item in self.items], dtype=np.int64)
         pairs = sorted({(s, k) for k, item in enumerate(self.items) for s in item.shingles.tolist()})
         self._shingles = np.array([s for s, _ in pairs], dtype=np.uint64)
         self._of = np.array([k for _, k in pairs], dtype=np.int64)
         self._filter = np.zeros(_FILTER, dtype=bool)
         self._filter[(self._shingles & np.uint64(_FILTER - 1)).astype(np.int64)] = True
-        sums = [(_signs(item.shingles) * item.weights[:, None]).sum(axis=0) for item in self.items]
+        sums = [bag_sums(item.shingles, item.weights) for item in self.items]
         self.prints = fingerprints(np.array(sums).reshape(-1, 64)) if sums else np.zeros(0, "<u8")
         near = np.bitwise_count(np.arange(1 << BLOCK_BITS, dtype=np.uint16)) <= RADIUS // BLOCKS
         values = np.arange(1 << BLOCK_BITS, dtype=np.int64)
@@ -164,7 +198,6 @@ class ItemIndex:
             for n_words in np.unique(self.lengths[item]).tolist():
                 of_size = self.lengths[item] == n_words
                 self._compare(shingles, weights, at[of_size], n_words, size, best)
-                self._compare_heavy(shingles, weights, at[of_size], item[of_size], n_words, size, best)
         return [(self.items[k].item_id, *found) for k, found in sorted(best.items())]
 
     @staticmethod
@@ -192,10 +225,7 @@ class ItemIndex:
                 self._compare_run(shingles, weights, part, wide, n_words, size, best)
 
     def _compare_run(self, shingles, weights, starts, wide, n_words, size, best) -> None:
-        low, high = int(starts[0]), int(starts[-1]) + wide
-        sums = np.zeros((high - low + 1, 64), dtype=np.int64)
-        np.cumsum(_signs(shingles[low:high]) * weights[low:high, None], axis=0, out=sums[1:])
-        prints = fingerprints(sums[starts - low + wide] - sums[starts - low])
+        prints = window_prints(shingles, weights, starts, wide)
         for window, k in zip(*(x.tolist() for x in self.within_radius(prints)), strict=True):
             item = self.items[k]
             if item.n_words != n_words:
@@ -206,26 +236,6 @@ class ItemIndex:
                 hamming = int(np.bitwise_count(prints[window] ^ self.prints[k]))
                 best[k] = (similar, hamming, start, min(n_words, wide + size - 1))
 
-    def _compare_heavy(self, shingles, weights, at, item, n_words, size, best) -> None:
-        """Compares the windows beyond the radius whose shared shingles weigh enough for the threshold."""
-        wide = min(n_words - size + 1, len(shingles))
-        least = SIMILARITY - 1e-9
-        shared = np.bincount(item, weights[at], minlength=len(self.items))
-        total = np.concatenate([[0], np.cumsum(weights)])
-        for k in np.flatnonzero((shared > 0) & (shared >= least * self.item_weights)).tolist():
-            own = at[item == k]
-            starts = self._around(own, wide, len(shingles) - wide)
-            upto = np.concatenate([[0], np.cumsum(weights[own])])
-            common = upto[np.searchsorted(own, starts + wide)] - upto[np.searchsorted(own, starts)]
-            union = total[starts + wide] - total[starts] + self.item_weights[k] - common
-            for start in starts[common >= least * union].tolist():
-                s, w = shingles[start : start + wide], weights[start : start + wide]
-                similar = self.items[k].similarity(s, w)
-                there = best.get(k, (0.0, 0, 0, 0))
-                if similar >= SIMILARITY and (similar > there[0] or (similar == there[0] and start < there[2])):
-                    mark = fingerprints((_signs(s) * w[:, None]).sum(axis=0)[None, :])[0]
-                    best[k] = (similar, int(np.bitwise_count(mark ^ self.prints[k])), start, min(n_words, wide + size - 1))
-
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """The items in lists of bounded number and size."""
@@ -264,17 +274,38 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.where("text is not null").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")
     )
-    found = docs.sparkSession.createDataFrame([], SCHEMA)
+    spark = docs.sparkSession
+    folder, count = work_folder(spark), 0
     for block in item_blocks(benchmark):
-        found = found.unionByName(texts.mapInArrow(_matcher(block), SCHEMA))
-    return found
+        texts.mapInArrow(_matcher(block), SCHEMA).write.parquet(f"{folder}/{count}")
+        count += 1
+    if not count:
+        return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).parquet(*[f"{folder}/{i}" for i in range(count)])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that have a window similar to an item."""
-    for block in item_blocks(benchmark):
-        docs = docs.where(~_contaminated(block)(F.coalesce(docs["text"], F.lit("")).cast("binary")))
-    return docs
+    blocks = item_blocks(benchmark)
+    first, second = next(blocks, None), next(blocks, None)
+    text = F.coalesce(docs["text"], F.lit("")).cast("binary")
+    if first is None:
+        return docs
+    if second is None:
+        return docs.where(~_contaminated(first)(text))
+    # A text is contaminated wherever it is: each pass stores the digests of those it finds.
+    spark, folder, count = docs.sparkSession, work_folder(docs.sparkSession), 0
+    texts = docs.select(text.alias("text")).where("text <> X''")
+    for block in itertools.chain([first, second], blocks):
+        found = texts.where(_contaminated(block)("text")).select(_digest(F.col("text")).alias("digest"))
+        found.distinct().write.parquet(f"{folder}/{count}")
+        count += 1
+    found = spark.read.schema("digest binary").parquet(*[f"{folder}/{i}" for i in range(count)]).distinct()
+    return docs.join(found, _digest(text) == found["digest"], "left_anti")
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
 def _contaminated(block: list[tuple[int, bytes]]):
