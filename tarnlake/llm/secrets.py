@@ -1,9 +1,9 @@
 """Secret scans: wide candidate patterns, and a random forest that removes false positives.
 
-A candidate is a value assigned to a telling name, which may be part of a longer one (``DB_PASSWORD``, ``accessToken``), or a long run
-of letters, digits and ``+ / _ -`` anywhere, a long name included.  A forest trained on labelled findings judges it by its length
+A candidate is a value assigned to a telling name, which may be part of a longer one (``DB_PASSWORD``, ``accessToken``, ``tokenizer`` too), or a
+long run of letters, digits and ``+ / _ -`` anywhere, a long name included.  A forest trained on labelled findings judges it by its length
 and make-up, how usual its character transitions are, how much of it dictionary words cover, the path it was found under, and the
-words and signs around it.  Usual transitions and the dictionary are counted over all texts; both have a fixed size.
+name, words and signs around it.  It learns from findings in drawn texts, see `secrets_examples`, and from any that callers have labelled.  Usual transitions and the dictionary are counted over all texts; both have a fixed size.
 
 Defined cases: null and empty texts have no candidates; a null path is empty; a text of any length is scanned whole; rows that repeat an id, or have
 none, are scanned each; without findings of both labels the probability is the share of label 1 (0 without any); an empty table gives no
@@ -22,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.llm.encoding import slices
+from tarnlake.llm.secrets_examples import examples
 from tarnlake.session import work_folder
 
 #: Words of the dictionary, and their letters.
@@ -33,7 +34,9 @@ DICTIONARY_WORDS = 5000
 WORD_LETTERS = (3, 8)
 #: Findings the forest is trained on, at most about.
 MOST_FINDINGS = 200_000
-TREES, DEPTH, SEED = 50, 6, 11
+TREES, DEPTH, SEED = 60, 9, 11
+#: Drawn texts the forest is trained on.
+EXAMPLES = 8000
 #: Characters looked at on either side.
 AROUND = 60
 
@@ -45,6 +48,16 @@ _CANDIDATE = re.compile(
     rf"|(?P<loose>{_LOOSE.pattern})"
 )
 _NAMED = re.compile(rf"(?i){_NAMES}|\b(?:key|auth|login)\b")
+# What stands before an assigned value, and names that only begin like a secret's or go on to say what else they are.
+_NAME_BEFORE = re.compile(r"([\w+/-]+)[\"']?\s*[:=]\s*[\"']?$")
+_PLAIN_NAME = re.compile(
+    r"(?:password|passwd|pwd|secret|token|key|credential|PASSWORD|PASSWD|PWD|SECRET|TOKEN|KEY|CREDENTIAL|Password|Secret|Token|Key|Credential)"
+    r"(?:(?!s\b|s_)[a-z]{2,}|[_-]?(?i:count|types?|limit|length|hint|field|names?|url|uri|path|file|policy|ttl|id|size|page|label|expiry|age)\b"
+    r"|(?:Count|Type|Limit|Length|Hint|Field|Name|Url|Path|File|Policy|Ttl|Id|Size|Page|Label|Expiry|Age)\b)"
+)
+_REFERS = re.compile(r"(?i)\b(?:commit|sha-?\d*|md5|rev|revision|checksum|digest|tree|blob|parent|build|etag|hash|uuid|guid)\b[^\w]{0,3}$")
+_PLACEHOLDER = re.compile(r"(?i)^[<$%{*(]|^(?:your|change|insert|example|none|null|true|false|todo|xxx)|\benviron|\w\(|^/\w+/")
+_SEPARATORS = re.compile(r"[-_/+.]+")
 _EXEMPT_PATH = re.compile(r"(?i)(?:^|[/_.-])(?:tests?|examples?|samples?|docs?|mocks?|fixtures?)(?:$|[/_.-])")
 _LETTERS = re.compile("[a-z]+")
 
@@ -57,8 +70,16 @@ FEATURES = (
     "transitions",
     "rarest_transition",
     "dictionary",
+    "letters_known",
+    "hex",
+    "separators",
+    "longest_part",
+    "numbers",
     "assigned",
     "named",
+    "plain_name",
+    "refers",
+    "placeholder",
     "quoted",
     "words_around",
     "path_depth",
@@ -130,6 +151,10 @@ def features(value: str, before: str, after: str, path: str, assigned: bool, lan
     steps = language.transitions[signs[:-1], signs[1:]] if len(signs) > 1 else np.zeros(1)
     around = [w.strip(".,;:!?'\"()=").lower() for w in before.split()[-4:-1] + after.split()[1:4]]
     known = sum(1 for w in around if w and (w in language.words or covered(w, language.words) > 0.5))
+    parts = [part for part in _SEPARATORS.split(value) if part]
+    name = _NAME_BEFORE.search(before)
+    letters = kinds.count("u") + kinds.count("l")
+    known_share = covered(value, language.words)
     return [
         math.log(count),
         kinds.count("d") / count,
@@ -138,9 +163,18 @@ def features(value: str, before: str, after: str, path: str, assigned: bool, lan
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / count,
         float(steps.mean()),
         float(steps.min()),
-        covered(value, language.words),
+        known_share,
+        known_share * count / letters if letters else 0.0,
+        sum(c in "0123456789abcdefABCDEF" for c in value) / count,
+        float(len(parts) - 1),
+        max(map(len, parts), default=0) / count,
+        # Parts that are all digits: dates, pages and numbers of parts, unlike digits inside a run.
+        sum(len(part) for part in parts if part.isdigit()) / max(1, kinds.count("d")),
         float(assigned),
         float(bool(_NAMED.search(before[-30:]))),
+        float(bool(name and _PLAIN_NAME.search(name[1]))),
+        float(bool(_REFERS.search(before[-30:]))),
+        float(bool(_PLACEHOLDER.search(value))),
         float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
         known / len(around) if around else 0.0,
         float(path.count("/")),
@@ -185,6 +219,14 @@ def find_candidates(docs: DataFrame, language: Language, path: str = "source") -
     return texts.mapInArrow(run, SCHEMA)
 
 
+def example_findings(spark: SparkSession, language: Language, count: int = EXAMPLES, seed: int = SEED) -> DataFrame:
+    """Findings in drawn texts, of which those that are a text's value have its ``label``."""
+    rows = examples(sorted(language.words), count, seed)
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string, source string, value string, label int")
+    labels = texts.select("doc_id", F.sha2(F.col("value").cast("binary"), 256).alias("sha256"), "label")
+    return find_candidates(texts, language, "source").join(labels, ["doc_id", "sha256"])
+
+
 def train(findings: DataFrame, most: int = MOST_FINDINGS) -> RandomForestClassificationModel | float:
     """A forest from ``features`` and ``label`` (0 or 1, null left out); without both labels, the share of label 1."""
     known = findings.where("label is not null").select("features", F.col("label").cast("double").alias("label"))

@@ -2,11 +2,15 @@
 
 import hashlib
 import random
+import uuid
+from collections import Counter
 
 import numpy as np
 
 from tarnlake.llm import secrets
-from tarnlake.llm.secrets_query import labelled
+from tarnlake.llm.registry import QUERIES, table
+from tarnlake.llm.secrets_examples import FORMS, examples
+from tarnlake.llm.secrets_query import labelled, trained
 
 SCHEMA = "doc_id bigint, text string, source string, length string"
 
@@ -30,8 +34,9 @@ def test_forest_keeps_secrets_and_drops_words(spark):
     odd = [(900, None, None, None), (901, "", "", ""), (902, "token = ", "a/tests/b", ""), (None, f"secret: {'ab12' * 5}", None, None)]
     odd += [(903, "plain words " * 50_000 + "password=abc123def456", "x", "")]
     frame = spark.createDataFrame(rows + odd + rows[:1], SCHEMA).repartition(3)
-    found = secrets.find_candidates(frame, secrets.learn_language(frame), "source")
-    model = secrets.train(labelled(found.where("doc_id % 2 = 0")))
+    language = secrets.learn_language(frame)
+    found = secrets.find_candidates(frame, language, "source")
+    model = trained(found.where("doc_id % 2 = 0"), language)
     got = secrets.judge(found, model).collect()
     texts = {r[0]: r[1] for r in rows + odd}
     judged = {}
@@ -90,8 +95,9 @@ def test_forest_keeps_values_under_longer_names(spark):
     drawn = ["".join(draw.choices("0123456789abcdefghijkmnpqrs&@!", k=9)) + "4x" for _ in range(40)]
     rows += [(1000 + i, "and the thing " + names[i % 4].format(v) + " in the end", f"src/z{i}.py", "k") for i, v in enumerate(drawn)]
     frame = spark.createDataFrame(rows, SCHEMA)
-    found = secrets.find_candidates(frame, secrets.learn_language(frame), "source")
-    model = secrets.train(labelled(found.where("doc_id < 1000 and doc_id % 2 = 0")))
+    language = secrets.learn_language(frame)
+    found = secrets.find_candidates(frame, language, "source")
+    model = trained(found.where("doc_id < 1000 and doc_id % 2 = 0"), language)
     kept = {(r.doc_id, r.sha256) for r in secrets.judge(found, model).where("doc_id >= 1000 and probability >= 0.5").collect()}
     assert {(1000 + i, hashlib.sha256(v.encode()).hexdigest()) for i, v in enumerate(drawn)} <= kept
 
@@ -102,3 +108,63 @@ def test_features():
     number = dict(zip(secrets.FEATURES, secrets.features("AB12", 'api_key="', '" x', "a/test/b", True, language), strict=True))
     assert number["digits"] == number["uppers"] == 0.5 and number["quoted"] == number["named"] == number["path_exempt"] == 1
     assert number["changes"] == 0.25 and number["path_depth"] == 2
+
+
+def planted():
+    """``(kind, label, text before, value)``, of words and names that the drawn examples don't have."""
+    draw = random.Random(99)
+    of = lambda signs, n: "".join(draw.choices(signs, k=n))
+    base = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "how to fix the water pump guide for winter garden see page of manual chapter history report summer kitchen notes".split()
+    for i in range(20):
+        yield "uuid", 0, "", str(uuid.UUID(int=draw.getrandbits(128), version=4))
+        yield "commit", 0, "commit ", of("0123456789abcdef", 40)
+        yield "path", 0, "", f"archive/{draw.randrange(1990, 2024)}/{draw.randrange(1, 13):02d}/{'-'.join(draw.choices(words, k=3))}"
+        yield "slug", 0, "", f"{'-'.join(draw.choices(words, k=3))}-{draw.randrange(2, 99)}-{draw.choice(words)}"
+        yield "page", 0, "password: ", f"see-page-{i}-of-manual"
+        yield "person", 0, "secretary: ", f"Miss_Jones_{i}"
+        yield "count", 0, "token_count=", str(10**7 + i * 1234567)
+        yield "model", 0, "tokenizer = ", f"bert-base-v{i}"
+        yield "hex", 1, "password=", of("0123456789abcdef", 18)
+        yield "token", 1, 'token = "', of("0123456789abcdef", 40)
+        yield "key", 1, "", "AKIA" + of(base[:26] + "0123456789", 16)
+        yield "prefixed", 1, "", "ghp_" + of(base, 36)
+        yield "human", 1, "DB_PASSWORD=", draw.choice(["hunter", "dragon", "monkey"]) + of("0123456789", 3) + draw.choice("!@&") + of(base, 3)
+
+
+def test_harmless_values_go_and_secrets_stay(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    language = secrets.learn_language(docs)
+    model = trained(secrets.find_candidates(docs, language), language)
+    values = list(planted())
+    rows = [(i, f"and the tion of {before}{value} ing here", f"src{i % 20}") for i, (_, _, before, value) in enumerate(values)]
+    found = secrets.find_candidates(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), language)
+    kept = {(r.doc_id, r.sha256) for r in secrets.judge(found, model).where("probability >= 0.5").collect()}
+    caught = Counter()
+    for i, (kind, label, _, value) in enumerate(values):
+        caught[label, kind] += (i, hashlib.sha256(value.encode()).hexdigest()) in kept
+    clean = [n for (label, _), n in caught.items() if not label]
+    assert sum(clean) <= 0.1 * 160 and max(clean) <= 10, caught
+    assert sum(n for (label, _), n in caught.items() if label) >= 0.95 * 100, caught
+
+
+def test_query(spark, sf_dir):
+    """Every candidate of every text once, and keys of a known form kept."""
+    rows = QUERIES["op2_forest_secret_scan"](spark, sf_dir).collect()
+    texts = {r.doc_id: r.text or "" for r in table(spark, sf_dir, "documents").collect()}
+    language = secrets.Language(np.log(np.full((64, 64), 1 / 64)), frozenset())
+    want = sorted((i, *found[:4]) for i, t in texts.items() for found in secrets.candidates(t, "", language))
+    assert sorted((r.doc_id, r.start, r.length, r.kind, r.sha256) for r in rows) == want
+    for r in rows:
+        value = texts[r.doc_id][r.start : r.start + r.length]
+        if value.isalpha() or value.isdigit():
+            assert r.is_secret == (r.kind == "assigned" or (len(value) == 20 and value.startswith("AKIA")))
+        elif value.startswith("AKIA") or r.kind == "assigned":
+            assert r.is_secret
+
+
+def test_examples():
+    drawn = examples(["alpha", "bravo", "delta"], 500, 3)
+    assert drawn == examples(["delta", "alpha", "bravo"], 500, 3) and drawn != examples(["alpha", "bravo", "delta"], 500, 4)
+    assert all(value in text for _, text, _, value, _ in drawn) and {r[4] for r in drawn} == {0, 1}
+    assert len(examples([], 60, 1)) == 60 and sum(often for _, often, _ in FORMS) < 60
