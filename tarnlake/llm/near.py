@@ -7,22 +7,27 @@
   independent permutations, at a cost near n + t log t in place of n * t.
 * Coordinates are banded.  The rows of a band follow from the threshold, so that a pair at the threshold shares no band with a
   probability of `MISS` at most.
-* Documents with the same set are one node.  Nodes that share a band are joined into candidate groups, and in a group every pair
-  is compared exactly, not only those that share a band.  A group is dealt over blocks of bounded size, and each pair of blocks is compared by one
-  task through a product of incidence matrices.  A task returns a spanning forest of its links and no pairs,
-  so rows grow with the documents.  Links are closed into components.
+* Documents with the same set are one node.  Nodes that share a band are joined into candidate groups.  In a group of one block every pair
+  is compared exactly, not only those that share a band, as a product of incidence matrices.
+* In a larger group each node is first compared with one leader, of a band that it shares with most: rows grow with the nodes, and the leader
+  travels to blocks of them.  Verified links are contracted, and bands whose nodes are in one component by now are done.  What is left
+  falls into new, smaller groups.  After `ROUNDS` of this, groups that are still larger are dealt over blocks, and each pair of blocks is
+  compared by one task.  A task returns a spanning forest of its links and no pairs, so rows grow with the documents.  Links are
+  closed into components.
 
-The work within one candidate group grows with the square of its distinct texts, spread over tasks; copies of one text cost nothing.
+A family of near copies is so contracted in time that grows with its size.  Work that grows with the square is left only for very many texts that share
+bands, and so are about half alike or more, without being linked; it is spread over tasks.  Copies of one text cost nothing.
 
 Defined cases: a null or empty text has no shingles and no link; rows that share a ``doc_id`` are one document, linked as any of their
 texts; a row without ``doc_id`` has component null and is kept; an empty table gives no rows; further columns are
-carried by `drop_near_duplicates` and not by `near_components`, whatever their names.
+carried by `drop_near_duplicates` and not by `near_components`, whatever their names; a text of any length is read whole, as one row.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,8 @@ from tarnlake.session import work_folder
 #: Coordinates of a sketch, and the probability of missing a pair at the threshold that sets the rows of a band.
 COORDINATES = 120
 MISS = 1e-6
+#: Rounds in which the nodes of large groups are compared with leaders.
+ROUNDS = 3
 #: Documents of a block, and shingles that count as one document.
 BLOCK_DOCUMENTS = 256
 SHINGLES_PER_DOCUMENT = 8192
@@ -187,17 +194,14 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     members = stored(named.groupBy("digest").agg(F.min("doc_id").alias("node")), f"{folder}/members")
     banded = (
         named.join(members, (named["digest"] == members["digest"]) & (named["doc_id"] == members["node"]), "left_semi")
-        .select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
+        .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
         .distinct()
     )
     banded = stored(banded, f"{folder}/bands")
-    leaders = banded.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    leaders = stored(leaders, f"{folder}/leaders")
-    neighbours = banded.join(leaders, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    groups = connected(neighbours)
-    firsts = groups.select(F.col("component").alias("node"), "component").distinct()
-    groups = groups.unionByName(firsts).select("node", F.col("component").alias("candidates"))
-    links_found = _compare(spark, docs, named, groups, size, percent, folder)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text")).where(
+        "text is not null"
+    )
+    links_found = _all_links(texts, banded, size, percent, folder)
     # Copies hang on their node.  A document of several texts hangs on, or is, the nodes of all of them.
     copies = named.join(members, "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     closed = connected(links_found.unionByName(copies))
@@ -211,17 +215,109 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
 
 
-def _compare(spark, docs, named, groups, size, percent, folder) -> DataFrame:
-    """Links between the nodes of each candidate group, as a spanning forest of every unit of blocks."""
-    weight = F.ceil(F.col("n_shingles") / SHINGLES_PER_DOCUMENT)
-    weights = named.join(groups, named["doc_id"] == groups["node"]).groupBy("candidates").agg(F.sum(weight).alias("weight"))
-    weights = stored(weights, f"{folder}/weights")
+def _all_links(texts: DataFrame, banded: DataFrame, size: int, percent: int, folder: str) -> DataFrame:
+    """Links that connect all nodes which similar pairs that share bands connect."""
+    spark, found = texts.sparkSession, []
+    for turn in range(ROUNDS + 1):
+        at = f"{folder}/turn{turn}"
+        groups = _groups(banded, at)
+        large = groups.where(F.col("blocks") > 1)
+        last = turn == ROUNDS or large.first() is None
+        found.append(_compared_blocks(texts, groups if last else groups.where("blocks = 1"), size, percent, f"{at}/blocks"))
+        if last:
+            break
+        banded = stored(banded.join(large.select("node").hint("shuffle_hash"), "node", "left_semi"), f"{at}/left")
+        found.append(_compared_to_leaders(texts, _leaders(banded, percent, turn, f"{at}/pairs"), size, percent, f"{at}/leaders"))
+        # Nodes of one component are one from now on, and bands that hold only one are done.
+        inside = connected(reduce(DataFrame.unionByName, found))
+        labelled = banded.join(inside, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        labelled = stored(labelled, f"{at}/labelled")
+        mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        banded = labelled.drop("component").join(stored(mixed.select("band"), f"{at}/mixed"), "band", "left_semi")
+        banded = stored(banded.select("node", "n", "band"), f"{at}/bands")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _groups(banded: DataFrame, path: str) -> DataFrame:
+    """``node``, ``candidates`` (its group) and ``blocks`` (of that group) of all nodes that share a band with another."""
+    leaders = banded.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
+    leaders = stored(leaders, f"{path}/first")
+    neighbours = banded.join(leaders, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    groups = connected(neighbours)
+    firsts = groups.select(F.col("component").alias("node"), "component").distinct()
+    groups = stored(groups.unionByName(firsts).select("node", F.col("component").alias("candidates")), f"{path}/groups")
+    weight = F.ceil(F.col("n") / SHINGLES_PER_DOCUMENT)
+    sizes = banded.groupBy("node").agg(F.max(weight).alias("weight"))
+    weights = groups.join(sizes, "node").groupBy("candidates").agg(F.sum("weight").alias("weight"))
     blocks = F.ceil(F.col("weight") / BLOCK_DOCUMENTS).cast("int")
-    dealt = groups.join(weights.select("candidates", blocks.alias("blocks")), "candidates")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text")).where(
-        "text is not null"
+    weights = stored(weights.select("candidates", blocks.alias("blocks")), f"{path}/weights")
+    return groups.join(weights, "candidates")
+
+
+def _leaders(banded: DataFrame, percent: int, turn: int, path: str) -> DataFrame:
+    """``node`` and ``leader``: for each node the leader of most of its bands that is near enough in size to be similar.
+
+    A band's leader is drawn by a hash, another one each turn, which favours the same node in all bands of a family.
+    """
+    drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("n").alias("size")))
+    leaders = stored(banded.groupBy("band").agg(drawn.alias("l")).select("band", "l.leader", "l.size"), f"{path}/drawn")
+    near = F.lit(100) * F.least("n", "size") >= F.lit(percent) * F.greatest("n", "size")
+    shared = banded.join(leaders, "band").where((F.col("node") != F.col("leader")) & near)
+    shared = shared.groupBy("node", "leader").count()
+    best = F.max(F.struct(F.col("count"), (-F.col("leader")).alias("l"))).alias("best")
+    return stored(shared.groupBy("node").agg(best).select("node", (-F.col("best.l")).alias("leader")), f"{path}/best")
+
+
+def _compared_to_leaders(texts: DataFrame, pairs: DataFrame, size: int, percent: int, path: str) -> DataFrame:
+    """Links of nodes with their leaders, whose texts go to blocks of the nodes."""
+    counts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK_DOCUMENTS).cast("int").alias("blocks"))
+    counts = stored(counts, f"{path}/counts")
+    dealt = pairs.join(counts, "leader").select(
+        "leader", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", F.lit(1).alias("follows")
     )
+    blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    leading = counts.select("leader", blocks).withColumns({"node": F.col("leader"), "follows": F.lit(0)})
+    rows = texts.join(dealt.unionByName(leading).hint("shuffle_hash"), "node")
+    rows = rows.repartition("leader", "block").sortWithinPartitions("leader", "block", "follows")
+    rows.select("leader", "block", "follows", "node", "text").mapInArrow(_linked(size, percent), "a bigint, b bigint").write.parquet(
+        f"{path}/links"
+    )
+    return texts.sparkSession.read.schema("a bigint, b bigint").parquet(f"{path}/links")
+
+
+def _linked(size: int, percent: int):
+    """Batches sorted by unit, each led by its leader's rows, to the links with it."""
+
+    def rows(batches):
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("leader", "block", "follows", "node", "text")), strict=True)
+
+    def run(batches):
+        found: list[tuple[int, int]] = []
+        for (leader, _), unit in itertools.groupby(rows(batches), key=lambda r: r[:2]):
+            leading = []
+            for _, _, follows, node, text in unit:
+                own = shingle_set(text, size)
+                if not follows:
+                    leading.append(own)  # a document of several texts has several rows
+                elif any(similar(own, other, percent) for other in leading):
+                    found.append((node, leader))
+            if len(found) > 10_000:
+                yield _edges(found)
+                found = []
+        yield _edges(found)
+
+    return run
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common) > 0
+
+
+def _compared_blocks(texts: DataFrame, groups: DataFrame, size: int, percent: int, path: str) -> DataFrame:
+    """Links between the nodes of each group, as a spanning forest of every unit of blocks."""
+    dealt = groups.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     held = texts.join(dealt.hint("shuffle_hash"), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = held.select("candidates", "block", other, "node", "text").select(
@@ -234,11 +330,12 @@ def _compare(spark, docs, named, groups, size, percent, folder) -> DataFrame:
     )
     key = ["candidates", "low", "high"]
     sorted_units = units.repartition(*key).sortWithinPartitions(*key)
-    sorted_units.mapInArrow(_compared(size, percent), "a bigint, b bigint").write.parquet(f"{folder}/links")
-    return spark.read.schema("a bigint, b bigint").parquet(f"{folder}/links")
+    sorted_units.mapInArrow(_compared(size, percent), "a bigint, b bigint").write.parquet(path)
+    return texts.sparkSession.read.schema("a bigint, b bigint").parquet(path)
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that are linked to one of a smaller ``doc_id``."""
-    dropped = near_components(docs, size, percent).where("not kept").select(F.col("doc_id").alias("dropped")).distinct()
-    return docs.join(dropped.hint("shuffle_hash"), F.col("doc_id").cast("bigint") == F.col("dropped"), "left_anti")
+    dropped = near_components(docs, size, percent).where("not kept").select("doc_id").distinct().alias("dropped")
+    same = F.col("kept_or_not.doc_id").cast("bigint") == F.col("dropped.doc_id")
+    return docs.alias("kept_or_not").join(dropped.hint("shuffle_hash"), same, "left_anti")

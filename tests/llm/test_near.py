@@ -70,6 +70,48 @@ def test_components_equal_all_pairs(spark, rows, size, percent, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == plain(rows, size, percent)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_large_groups(spark, monkeypatch, rounds):
+    """Families, chains whose ends aren't similar, and template texts that share bands without a link, in groups of many blocks."""
+    monkeypatch.setattr(near, "BLOCK_DOCUMENTS", 8)
+    monkeypatch.setattr(near, "ROUNDS", rounds)
+    draw = random.Random(7)
+    rows = family(draw, 0, 60, 60, 3) + family(draw, 1000, 40, 200, 30)
+    chain = [f"c{i}" for i in range(80)]
+    for i in range(40):
+        chain[2 * i] = f"d{i}"
+        rows.append((2000 + i, " ".join(chain), "x", i))
+    page = [f"p{i}" for i in range(60)]
+    rows += [(3000 + i, " ".join([*page, *(f"own{i}-{k}" for k in range(25))]), "x", i) for i in range(60)]
+    draw.shuffle(rows)
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = near.near_components(frame, 3, 85).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain(rows, 3, 85)
+
+
+def test_a_family_needs_no_pairs_of_blocks(spark, monkeypatch):
+    """Nodes near their leaders never meet each other in pairs of blocks."""
+    monkeypatch.setattr(near, "BLOCK_DOCUMENTS", 16)
+    blocks, compared = [], near._compared_blocks
+
+    def counted(texts, groups, *args):
+        blocks.append(groups.agg({"blocks": "max"}).first()[0])
+        return compared(texts, groups, *args)
+
+    monkeypatch.setattr(near, "_compared_blocks", counted)
+    rows = family(random.Random(3), 0, 400, 300, 3)
+    found = near.near_components(spark.createDataFrame(rows, SCHEMA), 5, 80).collect()
+    assert {r.component_id for r in found} == {0} and set(blocks) <= {None, 1}
+
+
+def test_clashing_names(spark, rows):
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    for name in ("dropped", "node", "band", "component"):
+        frame = frame.withColumn(name, near.F.lit(1))
+    left = near.drop_near_duplicates(frame, 5, 80)
+    assert left.columns == frame.columns and left.count() == sum(r[3] for r in plain(rows, 5, 80))
+
+
 def test_drop_keeps_one_of_each(spark, rows):
     frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
     left = near.drop_near_duplicates(frame, 5, 80)
