@@ -177,9 +177,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(measured: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> RuleEnsemble:
-    """Learns ``labels.quality`` from rows of ``doc_id`` and ``stats``, without those held out."""
-    spark = measured.sparkSession
+def chosen_labels(labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """``doc_id`` and ``label`` of at most about ``most_rows`` labelled documents, chosen by a hash, without those held out."""
     wanted = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
@@ -188,10 +187,20 @@ def train(measured: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
     share = most_rows / max(1, wanted.count())
     if share < 1:
         wanted = wanted.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    path = f"{work_folder(spark)}/examples"
-    examples = measured.select("doc_id", "stats").join(wanted, "doc_id").select("stats", "label")
+    return wanted
+
+
+def fit_stored(examples: DataFrame) -> RuleEnsemble:
+    """`fit` over a stored copy of the rows, which are read many times."""
+    path = f"{work_folder(examples.sparkSession)}/examples"
     examples.write.parquet(path)
-    return fit(spark.read.schema(examples.schema).parquet(path))
+    return fit(examples.sparkSession.read.schema(examples.schema).parquet(path))
+
+
+def train(measured: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> RuleEnsemble:
+    """Learns ``labels.quality`` from rows of ``doc_id`` and ``stats``, without those held out."""
+    wanted = chosen_labels(labels, most_rows)
+    return fit_stored(measured.select("doc_id", "stats").join(wanted, "doc_id").select("stats", "label"))
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -214,7 +223,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score below ``least``."""
-    model = train(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), statistics(docs["text"]).alias("stats")), labels)
+    # The chosen labels are `MOST_ROWS` small rows at most, so they go to the documents, and only theirs are measured to learn from.
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
+    labelled = texts.join(F.broadcast(chosen_labels(labels)), "doc_id")
+    model = fit_stored(labelled.select(statistics(labelled["text"]).alias("stats"), "label"))
     names = [docs[c] for c in docs.columns]
     rows = docs.select(F.struct(*names).alias("row"), statistics(docs["text"]).alias("stats"))
     return rows.where(model.score("stats") >= least).select("row.*")

@@ -36,6 +36,29 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert canonical(result.columns, [tuple(r) for r in result.collect()]) == want
 
 
+def test_registered_queries_without_sql_run(spark, sf_dir):
+    """Those whose rows no SQL gives are tested by module; here their columns, as stated, and one row for each document or piece."""
+    wanted = {
+        "op2_forest_secret_scan": ["doc_id"],
+        "op3_simhash_decontamination": ["doc_id", "item_id"],
+        "op4_rule_ensemble_quality": ["doc_id", "held_out", "score", "predicted"],
+        "op8_cost_balanced_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+        "op9_digest_cached_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+        "op10_prefix_sum_shards": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+        "op11_prefix_hash_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    }
+    assert set(wanted) == set(QUERIES) - set(ORACLES)
+    ids = sorted(r.doc_id for r in table(spark, sf_dir, "documents").select("doc_id").collect())
+    for name, columns in wanted.items():
+        rows = QUERIES[name](spark, sf_dir)
+        assert rows.columns[: len(columns)] == columns, name
+        found = [r.doc_id for r in rows.collect()]
+        if name.startswith(("op4", "op9", "op10", "op11")):
+            assert sorted(found) == ids, name
+        else:
+            assert found and set(found) <= set(ids), name
+
+
 def test_one_query_each():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
     assert numbers == list(range(1, 14))
@@ -76,3 +99,18 @@ def test_pipeline_with_odd_rows(spark, sf_dir, tmp_path):
     assert len(firsts) == len(set(firsts)) > 0
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_carries_further_columns(spark, sf_dir, tmp_path):
+    for name in ("benchmark", "labels"):
+        table(spark, sf_dir, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = table(spark, sf_dir, "documents").limit(60)
+    for name in ("dropped", "node", "stats", "label", "digest", "row"):
+        docs = docs.withColumn(name, docs["doc_id"])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path)).cache()
+        assert kept.columns == docs.columns and kept.where("dropped <> doc_id or row <> doc_id").count() == 0
+        docs = kept
+    assert 0 < docs.count() < 60
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.collect()}
