@@ -14,6 +14,7 @@ from tarnlake.operators.shape import (
 from tarnlake.operators.summarize import (
     count_rows,
     first_per_key,
+    heavy_keys,
     partition_sizes,
     pi_estimate,
     sum_reduce,
@@ -37,6 +38,7 @@ __all__ = [
     "nest_columns",
     "normalize_names",
     "parse_type",
+    "heavy_keys",
     "partition_sizes",
     "pi_estimate",
     "preview",

@@ -9,6 +9,7 @@ from tarnlake.operators.shape import flatten_struct
 from tarnlake.operators.summarize import (
     count_rows,
     first_per_key,
+    heavy_keys,
     partition_sizes,
     pi_estimate,
     sum_reduce,
@@ -96,6 +97,21 @@ def _partition_sizes(spark, sf_dir):
     return sizes.select("partition", near.alias("near_mean"), "all_rows")
 
 
+HOT_PARTS_SQL = "SELECT CASE WHEN l_partkey % 4 = 0 THEN l_linenumber ELSE l_partkey END AS k, l_returnflag FROM lineitem"
+
+
+@query(
+    "heavy_keys",
+    f"""SELECT k, l_returnflag, count(*) AS "rows" FROM ({HOT_PARTS_SQL}) GROUP BY k, l_returnflag
+        HAVING count(*) >= 0.01 * (SELECT count(*) FROM lineitem)""",
+)
+def _heavy_keys(spark, sf_dir):
+    """Keys that hold a hundredth of the rows, among very many that don't."""
+    part = F.when(F.col("l_partkey") % 4 == 0, F.col("l_linenumber")).otherwise(F.col("l_partkey")).cast("bigint")
+    lines = table(spark, sf_dir, "lineitem").select(part.alias("k"), "l_returnflag")
+    return heavy_keys(lines, ["k", "l_returnflag"], 0.01)
+
+
 @query("repartition_rows", 'SELECT CAST(4 AS BIGINT) AS partitions, count(*) AS "rows" FROM lineitem')
 def _repartition(spark, sf_dir):
     sizes = partition_sizes(table(spark, sf_dir, "lineitem").select("l_orderkey").repartition(4))

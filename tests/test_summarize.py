@@ -1,9 +1,10 @@
 """Aggregates, one row per key, partitions: results and plans."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarnlake.functions import text
-from tarnlake.operators.summarize import first_per_key, partition_sizes, pi_estimate, sum_reduce, total_length
+from tarnlake.operators.summarize import first_per_key, heavy_keys, partition_sizes, pi_estimate, sum_reduce, total_length
 
 
 def plan_of(df):
@@ -116,3 +117,25 @@ def test_strip_blanks(spark):
 def test_row_text(spark):
     df = spark.createDataFrame([(1, None, "x")], "a int, b int, c string")
     assert df.select(text.row_text("a", "b", "c")).first()[0] == "1,null,x"
+
+
+@pytest.mark.parametrize("share", [0.5, 0.05, 0.002])
+def test_heavy_keys_are_all_listed(spark, share):
+    """Shares near the border, among as many keys as rows, over many tasks."""
+    rows = spark.range(0, 40000, 1, 13).select(
+        F.when(F.col("id") % 2 == 0, F.lit(None)).when(F.col("id") % 20 == 1, F.lit("hot")).when(F.col("id") % 500 == 3, F.lit("warm"))
+        .otherwise(F.concat(F.lit("k"), "id")).alias("k"),
+        F.lit(None).cast("int").alias("rows of"),
+    )
+    counts = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
+    want = {k: n for k, n in counts.items() if n >= share * 40000}
+    got = heavy_keys(rows, ["k", "rows of"], share)
+    assert {r["k"]: r["rows"] for r in got.collect()} == want and len(want) == {0.5: 1, 0.05: 2, 0.002: 3}[share]
+    assert got.columns == ["k", "rows of", "rows"]
+
+
+def test_heavy_keys_of_nothing(spark):
+    assert heavy_keys(spark.range(0), ["id"], 0.1).collect() == []
+    assert heavy_keys(spark.range(5), ["id"], 0.3).collect() == []
+    with pytest.raises(ValueError):
+        heavy_keys(spark.range(5), ["id"], 0)
