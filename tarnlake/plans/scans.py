@@ -60,6 +60,22 @@ def _json_texts(spark, sf_dir):
     return scan_json_texts(table(spark, sf_dir, "events").select("event_id", "props"), "props")
 
 
+@query(
+    "scan_json_texts_map",
+    """SELECT o_orderkey, o_orderstatus AS status, 'c' || o_custkey AS customer, o_totalprice AS price,
+              CASE WHEN o_totalprice > 1000 THEN 'customer' || o_custkey END AS tag FROM orders""",
+)
+def _json_texts_map(spark, sf_dir):
+    """Objects whose keys are ids, inferred as a map, beside fields that few texts have."""
+    price = F.struct(F.col("o_totalprice").alias("price"), F.when(F.col("o_totalprice") > 1000, F.concat(F.lit("customer"), "o_custkey")).alias("tag"))
+    by_customer = F.create_map(F.concat(F.lit("c"), "o_custkey"), price)
+    text = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), by_customer.alias("by")))
+    rows = scan_json_texts(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "text", max_fields=50)
+    return rows.select("o_orderkey", "status", F.explode("by").alias("customer", "paid")).select(
+        "o_orderkey", "status", "customer", "paid.price", "paid.tag"
+    )
+
+
 def _customers_as_text(spark, sf_dir):
     path = work_folder(spark)
     save_delimited(table(spark, sf_dir, "customer"), path)

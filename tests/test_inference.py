@@ -1,0 +1,56 @@
+"""Types of JSON texts, with keys that are data."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tarnlake.sources.files import scan_json_lines, scan_json_texts
+from tarnlake.sources.inference import infer_json_type
+
+
+def inferred(spark, texts, max_fields=100):
+    return infer_json_type(spark.createDataFrame([(t,) for t in texts], "t string"), "t", max_fields).simpleString()
+
+
+@pytest.mark.parametrize(
+    "texts, want",
+    [
+        (['{"b":1,"a":"x"}', '{"c":1.5}', "no json", None], "struct<a:string,b:bigint,c:double>"),
+        (['{"a":1}', '{"a":2.25}', '{"a":null}'], "struct<a:double>"),
+        (['{"a":1}', '{"a":"x"}'], "struct<a:string>"),
+        (['{"a":{"x":1}}', '{"a":[1]}'], "struct<a:string>"),
+        (['{"a":[]}', '{"a":null,"b":true}'], "struct<a:array<string>,b:boolean>"),
+        (['{"a":[{"x":1},{"y":[[1.5]]},null]}'], "struct<a:array<struct<x:bigint,y:array<array<double>>>>>"),
+        (['{"a.b":{"[]":1,"{}":{".":2}}}'], "struct<a.b:struct<[]:bigint,{}:struct<.:bigint>>>"),
+        (['{"a":null}', '{"b":{"c":null}}'], "struct<a:string,b:struct<c:string>>"),
+        (['{"a":{}}'], "struct<a:struct<>>"),
+        (['{"a":99999999999999999999}'], "struct<a:decimal(20,0)>"),
+        (["[1,2]", "[3]"], "array<bigint>"),
+        (["null", "x"], "string"),
+        ([], "string"),
+    ],
+)
+def test_types(spark, texts, want):
+    assert inferred(spark, texts) == want
+
+
+def test_keys_that_are_data(spark):
+    ids = [json.dumps({"kind": "k", "by": {f"id{i}": {"n": i, "at": [i / 2]}}, "few": {f"f{i % 3}": 1}}) for i in range(300)]
+    assert inferred(spark, ids) == "struct<by:map<string,struct<at:array<double>,n:bigint>>,few:struct<f0:bigint,f1:bigint,f2:bigint>,kind:string>"
+    assert inferred(spark, ids, 2) == "map<string,string>"
+    deep = [json.dumps({"a": [{"m": {f"x{i}": {f"y{i * 7}": i}}}]}) for i in range(200)]
+    assert inferred(spark, deep) == "struct<a:array<struct<m:map<string,map<string,bigint>>>>>"
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(ids)], "i int, t string")
+    rows = scan_json_texts(frame, "t", max_fields=100)
+    assert rows.columns == ["i", "by", "few", "kind"]
+    assert rows.select(F.sum(F.map_values("by")[0]["n"])).first()[0] == sum(range(300))
+    top = spark.createDataFrame([(i, json.dumps({f"id{i}": i})) for i in range(300)], "i int, t string")
+    assert scan_json_texts(top, "t", max_fields=100).schema["t"].dataType.simpleString() == "map<string,bigint>"
+
+
+def test_lines_with_keys_that_are_data(spark, folder):
+    lines = spark.range(200).select(F.to_json(F.struct(F.create_map(F.concat(F.lit("u"), "id"), "id").alias("by"), F.lit(1.5).alias("v"))).alias("value"))
+    lines.write.text(folder)
+    rows = scan_json_lines(spark, folder, max_fields=50)
+    assert rows.dtypes == [("by", "map<string,bigint>"), ("v", "double")] and rows.count() == 200
