@@ -10,9 +10,8 @@
 * Documents with the same set are one node.  Nodes that share a band are joined into candidate groups.  In a group of one block every pair
   is compared exactly, not only those that share a band, as a product of incidence matrices.
 * In a larger group each node is first compared with one leader, of a band that it shares with most: rows grow with the nodes, and the leader
-  travels to blocks of them.  Verified links are contracted, and bands whose nodes are in one component by now are done.  What is left
-  falls into new, smaller groups.  After `ROUNDS` of this, groups that are still larger are dealt over blocks, and each pair of blocks is
-  compared by one task.  A task returns a spanning forest of its links and no pairs, so rows grow with the documents.  Links are
+  travels to blocks of them.  Verified links are contracted, and bands whose nodes are in one component by now are done.  After `ROUNDS` of
+  this, what is left falls into new groups, which are dealt over blocks, and each pair of blocks is compared by one task.  A task returns a spanning forest of its links and no pairs, so rows grow with the documents.  Links are
   closed into components.
 
 A family of near copies is so contracted in time that grows with its size.  Work that grows with the square is left only for very many texts that share
@@ -44,7 +43,9 @@ from tarnlake.session import work_folder
 COORDINATES = 120
 MISS = 1e-6
 #: Rounds in which the nodes of large groups are compared with leaders.
-ROUNDS = 3
+ROUNDS = 2
+#: Turns of contraction after each round: enough for nodes that are linked to a leader, and leaders to another.
+CONTRACTIONS = 2
 #: Documents of a block, and shingles that count as one document.
 BLOCK_DOCUMENTS = 256
 SHINGLES_PER_DOCUMENT = 8192
@@ -217,25 +218,32 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def _all_links(texts: DataFrame, banded: DataFrame, size: int, percent: int, folder: str) -> DataFrame:
     """Links that connect all nodes which similar pairs that share bands connect."""
-    spark, found = texts.sparkSession, []
-    for turn in range(ROUNDS + 1):
+    groups = _groups(banded, f"{folder}/groups")
+    large = groups.where(F.col("blocks") > 1)
+    # All texts cross the network here, once; from then on only those of large groups do.
+    held = texts.join(groups.hint("shuffle_hash"), "node")
+    if not ROUNDS or large.first() is None:
+        return _compared_blocks(held, size, percent, f"{folder}/blocks")
+    held = stored(held, f"{folder}/held")
+    found = [_compared_blocks(held.where("blocks = 1"), size, percent, f"{folder}/blocks")]
+    texts = held.where("blocks > 1").select("node", "text")
+    banded = stored(banded.join(large.select("node").hint("shuffle_hash"), "node", "left_semi"), f"{folder}/large")
+    links_inside = []
+    for turn in range(ROUNDS):
         at = f"{folder}/turn{turn}"
-        groups = _groups(banded, at)
-        large = groups.where(F.col("blocks") > 1)
-        last = turn == ROUNDS or large.first() is None
-        found.append(_compared_blocks(texts, groups if last else groups.where("blocks = 1"), size, percent, f"{at}/blocks"))
-        if last:
-            break
-        banded = stored(banded.join(large.select("node").hint("shuffle_hash"), "node", "left_semi"), f"{at}/left")
-        found.append(_compared_to_leaders(texts, _leaders(banded, percent, turn, f"{at}/pairs"), size, percent, f"{at}/leaders"))
+        links_inside.append(_compared_to_leaders(texts, _leaders(banded, percent, turn, at), size, percent, at))
         # Nodes of one component are one from now on, and bands that hold only one are done.
-        inside = connected(reduce(DataFrame.unionByName, found))
+        inside = stored(connected(reduce(DataFrame.unionByName, links_inside), CONTRACTIONS), f"{at}/inside")
         labelled = banded.join(inside, "node", "left").withColumn("component", F.coalesce("component", "node"))
         labelled = stored(labelled, f"{at}/labelled")
         mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         banded = labelled.drop("component").join(stored(mixed.select("band"), f"{at}/mixed"), "band", "left_semi")
-        banded = stored(banded.select("node", "n", "band"), f"{at}/bands")
-    return reduce(DataFrame.unionByName, found)
+        banded = stored(banded.select("node", "n", "band"), f"{at}/left")
+        if banded.first() is None:
+            return reduce(DataFrame.unionByName, found + links_inside)
+    rest = texts.join(_groups(banded, f"{folder}/rest").hint("shuffle_hash"), "node")
+    found.append(_compared_blocks(rest, size, percent, f"{folder}/rest/blocks"))
+    return reduce(DataFrame.unionByName, found + links_inside)
 
 
 def _groups(banded: DataFrame, path: str) -> DataFrame:
@@ -315,10 +323,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common) > 0
 
 
-def _compared_blocks(texts: DataFrame, groups: DataFrame, size: int, percent: int, path: str) -> DataFrame:
-    """Links between the nodes of each group, as a spanning forest of every unit of blocks."""
-    dealt = groups.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    held = texts.join(dealt.hint("shuffle_hash"), "node")
+def _compared_blocks(held: DataFrame, size: int, percent: int, path: str) -> DataFrame:
+    """Links between the nodes of each group, from rows of `_groups` with their texts, as a spanning forest of every unit of blocks."""
+    held = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = held.select("candidates", "block", other, "node", "text").select(
         "candidates",
@@ -331,7 +338,7 @@ def _compared_blocks(texts: DataFrame, groups: DataFrame, size: int, percent: in
     key = ["candidates", "low", "high"]
     sorted_units = units.repartition(*key).sortWithinPartitions(*key)
     sorted_units.mapInArrow(_compared(size, percent), "a bigint, b bigint").write.parquet(path)
-    return texts.sparkSession.read.schema("a bigint, b bigint").parquet(path)
+    return held.sparkSession.read.schema("a bigint, b bigint").parquet(path)
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
