@@ -35,22 +35,18 @@ def _hook(edges: DataFrame, path: str) -> DataFrame:
     return hooked.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected(edges: DataFrame, turns: int | None = None) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for all nodes but those smallest ones themselves.
 
     ``edges`` has two columns of ids, ``a`` and ``b``.  Rounds go through the shared work folder; their number grows with the
     logarithm of the longest path.  Nothing but a count and a checksum comes to the driver.
-
-    With ``turns`` it stops after so many rounds: nodes of one ``component`` are connected then, but not all that are have one.
     """
     folder = work_folder(edges.sparkSession)
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     before, turn = None, 0
     while True:
         now = stored(now, f"{folder}/edges={turn}")
-        if turn == turns:
-            return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-        state = None if turns else _state(now)
-        if not turns and (state == before or not state[0]):
+        state = _state(now)
+        if state == before or not state[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before, turn, now = state, turn + 1, _hook(now, f"{folder}/turn={turn}")

@@ -10,8 +10,9 @@
 * Documents with the same set are one node.  Nodes that share a band are joined into candidate groups.  In a group of one block every pair
   is compared exactly, not only those that share a band, as a product of incidence matrices.
 * In a larger group each node is first compared with one leader, of a band that it shares with most: rows grow with the nodes, and the leader
-  travels to blocks of them.  Verified links are contracted, and bands whose nodes are in one component by now are done.  After `ROUNDS` of
-  this, what is left falls into new groups, which are dealt over blocks, and each pair of blocks is compared by one task.  A task returns a spanning forest of its links and no pairs, so rows grow with the documents.  Links are
+  travels to blocks of them.  Verified links are contracted, and bands whose nodes are in one component by now are done.  What is left
+  falls into new groups, which are dealt over blocks, large components over blocks of their own.  Each pair of blocks, but for two of one
+  component, is compared by one task.  A task returns a spanning forest of its links and no pairs, so rows grow with the documents.  Links are
   closed into components.
 
 A family of near copies is so contracted in time that grows with its size.  Work that grows with the square is left only for very many texts that share
@@ -31,7 +32,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.llm.components import connected, stored
@@ -42,10 +43,10 @@ from tarnlake.session import work_folder
 #: Coordinates of a sketch, and the probability of missing a pair at the threshold that sets the rows of a band.
 COORDINATES = 120
 MISS = 1e-6
-#: Rounds in which the nodes of large groups are compared with leaders.
-ROUNDS = 2
-#: Turns of contraction after each round: enough for nodes that are linked to a leader, and leaders to another.
-CONTRACTIONS = 2
+#: Whether the nodes of large groups are compared with leaders first.
+LEADERS = True
+#: Steps from a node to its leader, to that one's, and so on.
+STEPS = 3
 #: Documents of a block, and shingles that count as one document.
 BLOCK_DOCUMENTS = 256
 SHINGLES_PER_DOCUMENT = 8192
@@ -222,28 +223,64 @@ def _all_links(texts: DataFrame, banded: DataFrame, size: int, percent: int, fol
     large = groups.where(F.col("blocks") > 1)
     # All texts cross the network here, once; from then on only those of large groups do.
     held = texts.join(groups.hint("shuffle_hash"), "node")
-    if not ROUNDS or large.first() is None:
-        return _compared_blocks(held, size, percent, f"{folder}/blocks")
+    if not LEADERS or large.first() is None:
+        return _compared_blocks(_dealt(held), size, percent, f"{folder}/blocks")
     held = stored(held, f"{folder}/held")
-    found = [_compared_blocks(held.where("blocks = 1"), size, percent, f"{folder}/blocks")]
+    found = _compared_blocks(_dealt(held.where("blocks = 1")), size, percent, f"{folder}/blocks")
     texts = held.where("blocks > 1").select("node", "text")
     banded = stored(banded.join(large.select("node").hint("shuffle_hash"), "node", "left_semi"), f"{folder}/large")
-    links_inside = []
-    for turn in range(ROUNDS):
-        at = f"{folder}/turn{turn}"
-        links_inside.append(_compared_to_leaders(texts, _leaders(banded, percent, turn, at), size, percent, at))
-        # Nodes of one component are one from now on, and bands that hold only one are done.
-        inside = stored(connected(reduce(DataFrame.unionByName, links_inside), CONTRACTIONS), f"{at}/inside")
-        labelled = banded.join(inside, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        labelled = stored(labelled, f"{at}/labelled")
-        mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        banded = labelled.drop("component").join(stored(mixed.select("band"), f"{at}/mixed"), "band", "left_semi")
-        banded = stored(banded.select("node", "n", "band"), f"{at}/left")
-        if banded.first() is None:
-            return reduce(DataFrame.unionByName, found + links_inside)
-    rest = texts.join(_groups(banded, f"{folder}/rest").hint("shuffle_hash"), "node")
-    found.append(_compared_blocks(rest, size, percent, f"{folder}/rest/blocks"))
-    return reduce(DataFrame.unionByName, found + links_inside)
+    led = _compared_to_leaders(texts, _leaders(banded, percent, folder), size, percent, folder)
+    found = found.unionByName(led)
+    # Nodes of one component are one from now on, and bands that hold only one are done.
+    inside = led.distinct().groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    for _ in range(STEPS):
+        further = inside.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        inside = inside.join(further, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    labelled = banded.join(inside, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = stored(labelled, f"{folder}/labelled")
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    left = labelled.join(stored(mixed.select("band"), f"{folder}/mixed"), "band", "left_semi")
+    left = stored(left, f"{folder}/left")
+    if left.first() is None:
+        return found
+    components = left.select("node", "component").distinct()
+    dealt = _dealt_by_component(_groups(left, f"{folder}/rest").join(components, "node"), left, f"{folder}/rest")
+    rest = texts.join(dealt.hint("shuffle_hash"), "node")
+    return found.unionByName(_compared_blocks(rest, size, percent, f"{folder}/rest/blocks"))
+
+
+def _dealt(held: DataFrame) -> DataFrame:
+    """Rows of `_groups` with the ``block`` of each node, to be compared with all ``others``."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    return held.withColumns({"block": block, "others": F.sequence(F.lit(0), F.col("blocks") - 1)})
+
+
+def _dealt_by_component(groups: DataFrame, banded: DataFrame, path: str) -> DataFrame:
+    """As `_dealt`, with blocks of their own for components larger than a block, which aren't compared with each other."""
+    sizes = banded.groupBy("node").agg(F.max(_weight(F.col("n"))).alias("weight"))
+    parts = groups.join(sizes, "node").groupBy("candidates", "component").agg(F.sum("weight").alias("weight"))
+    own = F.when(F.col("weight") > BLOCK_DOCUMENTS, F.ceil(F.col("weight") / BLOCK_DOCUMENTS)).otherwise(0).cast("int").alias("own")
+    parts = stored(parts.select("candidates", "component", "weight", own), f"{path}/parts")
+    # Components that fill a block, one row each, after the blocks that all others share.
+    pooled = parts.groupBy("candidates").agg(
+        F.ceil(F.coalesce(F.sum(F.when(F.col("own") == 0, F.col("weight"))), F.lit(0)) / BLOCK_DOCUMENTS).cast("int").alias("pooled"),
+        F.sum("own").cast("int").alias("owned"),
+    )
+    before = Window.partitionBy("candidates").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("own").over(before), F.lit(0)).cast("int").alias("before")
+    placed = parts.where("own > 0").select("candidates", "component", "own", first)
+    rows = groups.drop("blocks").join(stored(pooled, f"{path}/pooled"), "candidates")
+    rows = rows.join(stored(placed, f"{path}/placed"), ["candidates", "component"], "left")
+    low = F.col("pooled") + F.col("before")
+    every = F.sequence(F.lit(0), F.col("pooled") + F.col("owned") - 1)
+    block = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("node"), F.col("pooled"))).otherwise(low + F.pmod(F.xxhash64("node"), F.col("own")))
+    others = F.when(F.col("own").isNull(), every).otherwise(F.filter(every, lambda o: (o < low) | (o >= low + F.col("own"))))
+    return rows.select("node", "candidates", block.cast("int").alias("block"), others.alias("others"))
+
+
+def _weight(n: Column) -> Column:
+    """As how many documents a set of ``n`` shingles counts."""
+    return F.ceil(n / SHINGLES_PER_DOCUMENT)
 
 
 def _groups(banded: DataFrame, path: str) -> DataFrame:
@@ -254,20 +291,19 @@ def _groups(banded: DataFrame, path: str) -> DataFrame:
     groups = connected(neighbours)
     firsts = groups.select(F.col("component").alias("node"), "component").distinct()
     groups = stored(groups.unionByName(firsts).select("node", F.col("component").alias("candidates")), f"{path}/groups")
-    weight = F.ceil(F.col("n") / SHINGLES_PER_DOCUMENT)
-    sizes = banded.groupBy("node").agg(F.max(weight).alias("weight"))
+    sizes = banded.groupBy("node").agg(F.max(_weight(F.col("n"))).alias("weight"))
     weights = groups.join(sizes, "node").groupBy("candidates").agg(F.sum("weight").alias("weight"))
     blocks = F.ceil(F.col("weight") / BLOCK_DOCUMENTS).cast("int")
     weights = stored(weights.select("candidates", blocks.alias("blocks")), f"{path}/weights")
     return groups.join(weights, "candidates")
 
 
-def _leaders(banded: DataFrame, percent: int, turn: int, path: str) -> DataFrame:
+def _leaders(banded: DataFrame, percent: int, path: str) -> DataFrame:
     """``node`` and ``leader``: for each node the leader of most of its bands that is near enough in size to be similar.
 
-    A band's leader is drawn by a hash, another one each turn, which favours the same node in all bands of a family.
+    A band's leader is drawn by a hash, which favours the same node in all bands of a family.
     """
-    drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("n").alias("size")))
+    drawn = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("leader"), F.col("n").alias("size")))
     leaders = stored(banded.groupBy("band").agg(drawn.alias("l")).select("band", "l.leader", "l.size"), f"{path}/drawn")
     near = F.lit(100) * F.least("n", "size") >= F.lit(percent) * F.greatest("n", "size")
     shared = banded.join(leaders, "band").where((F.col("node") != F.col("leader")) & near)
@@ -324,10 +360,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _compared_blocks(held: DataFrame, size: int, percent: int, path: str) -> DataFrame:
-    """Links between the nodes of each group, from rows of `_groups` with their texts, as a spanning forest of every unit of blocks."""
-    held = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = held.select("candidates", "block", other, "node", "text").select(
+    """Links between the nodes of each group, dealt to blocks with their texts, as a spanning forest of every unit of blocks."""
+    units = held.select("candidates", "block", F.explode("others").alias("other"), "node", "text").select(
         "candidates",
         F.least("block", "other").alias("low"),
         F.greatest("block", "other").alias("high"),
