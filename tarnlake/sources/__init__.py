@@ -11,11 +11,9 @@ from tarnlake.sources.jdbc import (
 from tarnlake.sources.options import declared_types, scan_with_options
 from tarnlake.sources.staged import staged_jdbc_scan, unload_scan
 from tarnlake.sources.tables import scan_sql, scan_table
-from tarnlake.sources.unload import DERBY_EXPORT, DIRECTORY_EXPORT, Export, remote_unload_scan
+from tarnlake.sources.unload import Export, remote_unload_scan
 
 __all__ = [
-    "DERBY_EXPORT",
-    "DIRECTORY_EXPORT",
     "Export",
     "column_bounds",
     "declared_types",
