@@ -8,7 +8,7 @@ JOB = """
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import functions as F
-from tarnlake.llm import exact, near, packing, sharding, tokens
+from tarnlake.llm import exact, near, packing, runs, sharding, successors, tokens, trie
 from tarnlake.session import local_session, work_folder
 
 spark = local_session("retries", cores="4,4", shuffle_partitions=4)
@@ -39,6 +39,15 @@ assert sorted(r.doc_id for r in shards) == list(range(800))
 cache = work_folder(spark)
 counts = tokens.count_tokens(docs, cache, public_tokenizers.path("word_bpe_49k.json")).collect()
 assert len(counts) == 800 and spark.read.parquet(cache).count() == 300
+assert all(r.n_words == 12 and not r.runs for r in runs.find_runs(docs).collect())
+pairs = successors.with_next(docs).collect()
+texts = {r.doc_id: r.text for r in pairs}
+assert len(texts) == 800 and all(r.next_text == texts[(r.doc_id - 1) % 800] for r in pairs)
+turns = docs.select(F.floor(F.col("doc_id") / 4).alias("conv_id"), (F.col("doc_id") % 4).alias("turn"), F.lit("user").alias("role"), "text")
+nodes = trie.prefix_trie(trie.digest_turns(turns)).collect()
+root = [r for r in nodes if not r.depth]
+# 800 texts repeat after 300, so 75 of 200 conversations are new.
+assert len(nodes) == 1 + 4 * 75 and root[0].n_convs == 200 and root[0].n_leaves == root[0].n_children == 75
 print("all right")
 """
 
