@@ -33,30 +33,32 @@ def infer_json_type(df: DataFrame, column: str, max_fields: int) -> DataType:
 
 def _next_level(values: DataFrame, max_fields: int) -> tuple[dict, DataFrame]:
     """What is known of each path, and the values one step further."""
-    values = values.where("v is not null").withColumn("shown", F.schema_of_variant("v"))
-    is_object, is_array = F.col("shown").startswith("OBJECT<"), F.col("shown").startswith("ARRAY<")
+    values = values.where("v is not null")
+    spark = values.sparkSession
+    # A value that is plain, or empty, keeps one row without key and element.
+    inside = values.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
+    inside = inside.select("path", "v", "key", F.col("value").alias("inner"))
+    # The type of a whole value is asked only where nothing is inside it.
+    inside = inside.withColumn("shown", F.when(F.col("inner").isNull(), F.schema_of_variant("v")))
+    is_object = F.col("key").isNotNull() | F.coalesce(F.col("shown").startswith("OBJECT<"), F.lit(False))
+    is_array = F.col("key").isNull() & (F.col("inner").isNotNull() | F.coalesce(F.col("shown").startswith("ARRAY<"), F.lit(False)))
     plain = F.when(~is_object & ~is_array & ~F.is_variant_null("v"), F.col("v"))
-    kinds = values.groupBy("path").agg(
+    kinds = inside.groupBy("path").agg(
         F.count_if(is_object).alias("objects"),
         F.count_if(is_array).alias("arrays"),
         F.count(plain).alias("plain"),
         F.schema_of_variant_agg(plain).alias("type"),
+        F.approx_count_distinct("key", 0.01).alias("keys"),
     )
-    level = {tuple(row["path"]): row.asDict() | {"map": False} for row in kinds.collect()}
-    spark = values.sparkSession
-    inside = values.where(is_object | is_array).select("path", "v").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-    inside = inside.select("path", "key", F.col("value").alias("v"))
+    level = {tuple(row["path"]): row.asDict() | {"map": row["keys"] > max_fields} for row in kinds.collect()}
     objects = [path for path, row in level.items() if row["objects"]]
-    if objects:
-        counts = inside.where("key is not null").groupBy("path").agg(F.approx_count_distinct("key", 0.01).alias("n")).collect()
-        for row in counts:
-            level[tuple(row["path"])]["map"] = row["n"] > max_fields
     maps = [path for path in objects if level[path]["map"]]
     into_map = F.lit(False)
     for path in maps:
         into_map = into_map | (F.col("path") == F.array(*map(F.lit, path)).cast("array<string>"))
     step = F.when(F.col("key").isNull(), F.lit(ELEMENT)).when(into_map, F.lit(VALUE)).otherwise(F.concat(F.lit(KEY), "key"))
-    return level, inside.select(F.concat("path", F.array(step)).alias("path"), "v")
+    inside = inside.where("inner is not null")
+    return level, inside.select(F.concat("path", F.array(step)).alias("path"), F.col("inner").alias("v"))
 
 
 def _type_of(found: dict, path: tuple[str, ...]) -> DataType:
