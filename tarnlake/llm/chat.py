@@ -2,8 +2,8 @@
 
 A conversation is formatted once, turn by turn, and a prefix of it is named by a length: example ``k`` is the
 text of its conversation up to ``context_chars``, which is not trained on, followed by the formatted target
-turn, of which the span from ``loss_start`` to ``loss_end`` is.  So a conversation of n turns takes n rows and
-not n * n texts; `expanded_texts` spells the examples out for a trainer that wants them in one string each.
+turn, of which the span from ``loss_start`` to ``loss_end`` is.  `format_turns` places the turns and names the prefixes;
+`expanded_texts` expands them to one string for each example, and `conversation_digests` reads from that expansion.
 
 A turn reads ``<|im_start|>role``, a line break, the text, ``<|im_end|>``, a line break.  Inside roles and texts
 a backslash is written ``\\s``, ``<|`` is written ``<\\|``, and in roles a line break is written ``\\n``, so
@@ -118,60 +118,103 @@ def trained_text(text: Column, offset: Column) -> Column:
     return unescape(F.substring(text, (F.col("loss_start") - offset + 1).cast("int"), length.cast("int")))
 
 
+def _conversations(turns: DataFrame) -> DataFrame:
+    """One row per conversation: its turns in order in ``rows``, and its formatted text, which must fit in a row, in ``whole``."""
+    place = ("block", "position", "formatted", "example", "context_chars", "loss_start", "loss_end")
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(*place))).alias("rows"))
+    return rows.withColumn("whole", F.array_join("rows.formatted", ""))
+
+
+def _expand(conversations: DataFrame, *kept: str) -> DataFrame:
+    """The expansion: for each example a row with its context and its target turn spelled out, and its span in both together.
+
+    A conversation without examples keeps a row whose ``example`` is null; ``kept`` are further columns to keep.
+    """
+    found = F.explode_outer(F.filter("rows", lambda r: r["example"].isNotNull())).alias("e")
+    each = conversations.select("conv_id", *kept, "whole", found)
+    first_after = F.col("e.loss_end") + len(END) + 1
+
+    def part(start: Column, end: Column) -> Column:
+        return F.substring("whole", (start + 1).cast("int"), (end - start).cast("int"))
+
+    return each.select(
+        "conv_id",
+        *kept,
+        "e.example",
+        part(F.lit(0), F.col("e.context_chars")).alias("context"),
+        part(F.col("e.context_chars"), first_after).alias("target"),
+        "e.loss_start",
+        "e.loss_end",
+    )
+
+
 def expanded_texts(turns: DataFrame) -> DataFrame:
     """Each example with its context and target in one string: ``conv_id``, ``example``, ``text``, ``loss_start``, ``loss_end``.
 
-    The texts of a conversation add up to its length times its number of examples.
+    The texts of a conversation add up to its length times its number of examples; a task holds one of them at a time.
     """
-    so_far = (
-        Window.partitionBy("conv_id").orderBy("block", "position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    whole = turns.withColumn("text", F.array_join(F.collect_list("formatted").over(so_far), ""))
-    return examples(whole).select("conv_id", "example", "text", "loss_start", "loss_end")
+    spelled = _expand(_conversations(turns)).where(F.col("example").isNotNull())
+    return spelled.select("conv_id", "example", F.concat("context", "target").alias("text"), "loss_start", "loss_end")
 
 
-def read_turns(turns: DataFrame) -> DataFrame:
-    """``role`` and ``text`` of each formatted turn, read back from its text alone, beside the columns of `format_turns`."""
+def _read(formatted: Column) -> tuple[Column, Column]:
+    """Role and text of a formatted turn."""
     markers = len(START) + len(END) + 1
-    inner = F.substring(F.col("formatted"), F.lit(len(START) + 1), F.char_length("formatted") - markers)
+    inner = F.substring(formatted, F.lit(len(START) + 1), F.char_length(formatted) - markers)
     role = F.substring_index(inner, "\n", 1)
     text = F.substring(inner, F.char_length(role) + 2, F.char_length(inner))
-    return turns.withColumns({"role": unescape_role(role), "text": unescape(text)})
+    return unescape_role(role), unescape(text)
+
+
+def read_turns(turns: DataFrame) -> DataFrame:
+    """``role`` and ``text`` of each formatted turn, read back from its text alone, beside the columns of `format_turns`."""
+    role, text = _read(F.col("formatted"))
+    return turns.withColumns({"role": role, "text": text})
 
 
 def conversation_digests(turns: DataFrame) -> DataFrame:
     """One row per conversation with counts and digests of what its formatted turns and examples give back.
 
-    ``n_examples`` and ``context_chars`` are the number of its `examples` and the length of all their contexts together.
-    Native, but a digest takes the texts of a conversation in one string, so a conversation must fit in a row;
-    `stream_digests` gives the same for conversations of any length.
+    What is trained on, ``n_examples`` and ``context_chars`` (the length of all contexts together) are read from the expanded
+    examples, each with its context spelled out.  Native, but a conversation must fit in a row, and its expansion takes time
+    with the square of its turns; `stream_digests` reads conversations of any length, without expansion.
     """
-    back = read_turns(turns).withColumns(
+
+    def spoken(row: Column) -> Column:
+        role, text = _read(row["formatted"])
+        return F.concat(role, F.lit("\n"), text, F.lit("\n"))
+
+    conversations = _conversations(turns).withColumns(
         {
-            "trained": F.when(F.col("example").isNotNull(), trained_text(F.col("formatted"), F.col("context_chars"))),
-            "context": F.when(F.col("example").isNotNull(), F.col("context_chars")),
+            "n_turns": F.size("rows").cast("bigint"),
+            "turns_sha256": F.sha2(F.array_join(F.transform("rows", spoken), "").cast("binary"), 256),
+            "formatted_chars": F.char_length("whole").cast("bigint"),
         }
     )
-    kept = F.struct("block", "position", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("whole"), "trained")
-    rows = back.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(kept)).alias("rows"),
-        F.count("*").alias("n_turns"),
-        F.sum(F.char_length("formatted").cast("bigint")).alias("formatted_chars"),
-        F.sum(F.char_length("trained").cast("bigint")).alias("loss_chars"),
+    kept = ("n_turns", "turns_sha256", "formatted_chars")
+    spelled = _expand(conversations, *kept)
+    # The span is read in context and target together, as a trainer would.
+    length = F.col("loss_end") - F.col("loss_start")
+    trained = F.substring(F.concat("context", "target"), (F.col("loss_start") + 1).cast("int"), length.cast("int"))
+    read = spelled.select(
+        "conv_id", *kept, "example", unescape(trained).alias("trained"), F.char_length("context").cast("bigint").alias("context_chars")
+    )
+    sums = read.groupBy("conv_id", *kept).agg(
+        F.array_sort(F.collect_list(F.struct("example", "trained"))).alias("examples"),
         F.count("example").alias("n_examples"),
-        F.sum("context").alias("context_chars"),
+        F.coalesce(F.sum("context_chars"), F.lit(0)).alias("context_chars"),
     )
-    # Nulls, of turns that are not trained on, are left out.
-    joined = {c: F.array_join(F.col(f"rows.{c}"), "").cast("binary") for c in ("whole", "trained")}
-    return rows.select(
+    # The null of a conversation without examples is left out.
+    text = F.array_join("examples.trained", "")
+    return sums.select(
         "conv_id",
         "n_turns",
-        F.sha2(joined["whole"], 256).alias("turns_sha256"),
-        F.coalesce("loss_chars", F.lit(0)).alias("loss_chars"),
-        F.sha2(joined["trained"], 256).alias("loss_sha256"),
+        "turns_sha256",
+        F.char_length(text).cast("bigint").alias("loss_chars"),
+        F.sha2(text.cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
         "n_examples",
-        F.coalesce("context_chars", F.lit(0)).alias("context_chars"),
+        "context_chars",
     )
 
 
